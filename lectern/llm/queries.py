@@ -3,15 +3,39 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import oracles, quality
+from . import mixing, oracles, quality, secrets, simhash, urls
 from .common import read
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of every page's address; a labelled page is bad if its quality label is 0 or its toxic label 1."""
+    labels = read(spark, sf_dir, "labels")
+    bad = labels.select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int").alias("bad"))
+    return urls.url_filter(read(spark, sf_dir, "pages"), bad)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality verdict of every document."""
     return quality.quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op6_quality_rules,)}
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of every document that bring its source to its target."""
+    return mixing.mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document."""
+    return secrets.digest(secrets.secret_scan(read(spark, sf_dir, "documents")))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash and near-duplicate class of every document."""
+    found = simhash.simhash_components(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id", "links")
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op6_quality_rules, op7_mix_sources, op9_secret_scan, op10_simhash)}
 ORACLES = oracles.ORACLES
