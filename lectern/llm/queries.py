@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, oracles, quality, secrets, simhash, urls
+from . import decontaminate, licenses, mixing, oracles, quality, secrets, simhash, tokens, urls
 from .common import read
 
+#: Pieces and scores that op5 takes as its vocabulary: a public tokenizer's file.
+UNIGRAM = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict of every page's address; a labelled page is bad if its quality label is 0 or its toxic label 1."""
@@ -16,6 +19,16 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_filter(read(spark, sf_dir, "pages"), bad)
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document holds."""
+    return decontaminate.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str, model: str = UNIGRAM) -> DataFrame:
+    """Tokens of every document."""
+    return tokens.token_counts(read(spark, sf_dir, "documents"), tokens.vocabulary(model))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality verdict of every document."""
     return quality.quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
@@ -26,6 +39,11 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses that every document names."""
+    return licenses.license_scan(read(spark, sf_dir, "documents"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in every document."""
     return secrets.digest(secrets.secret_scan(read(spark, sf_dir, "documents")))
@@ -37,5 +55,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id", "links")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op6_quality_rules, op7_mix_sources, op9_secret_scan, op10_simhash)}
+QUERIES = {f.__name__: f for f in (
+    op1_url_filter, op3_decontaminate, op5_token_counts, op6_quality_rules, op7_mix_sources, op8_license_scan, op9_secret_scan, op10_simhash,
+)}
 ORACLES = oracles.ORACLES
