@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, mixing, oracles, quality, secrets, simhash, tokens, urls
+from . import decontaminate, licenses, mixing, oracles, quality, secrets, simhash, tokens, toxicity, urls
 from .common import read
 
 #: Pieces and scores that op5 takes as its vocabulary: a public tokenizer's file.
@@ -19,6 +19,12 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_filter(read(spark, sf_dir, "pages"), bad)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    labels = read(spark, sf_dir, "labels").select("doc_id", "toxic")
+    return toxicity.toxicity(read(spark, sf_dir, "documents"), labels)
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item that a document holds."""
     return decontaminate.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
@@ -56,6 +62,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_url_filter, op3_decontaminate, op5_token_counts, op6_quality_rules, op7_mix_sources, op8_license_scan, op9_secret_scan, op10_simhash,
+    op1_url_filter, op2_toxicity, op3_decontaminate, op5_token_counts, op6_quality_rules, op7_mix_sources, op8_license_scan, op9_secret_scan, op10_simhash,
 )}
 ORACLES = oracles.ORACLES
