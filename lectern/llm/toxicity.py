@@ -22,6 +22,8 @@ SEED = ("idiot", "idiots", "imbecile", "moron", "moronic", "stupid", "dumb", "sc
 PREFIXES = (5, 6, 7, 8)
 WORD_VOTERS, PATTERN_VOTERS = 6, 4
 THRESHOLD = 0.3
+#: Weight of a voter's silence: a text in one language is no evidence for words of another.
+SILENCE = 0.8
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -135,7 +137,7 @@ def fit_label_model(fired: np.ndarray, label: np.ndarray, weight: np.ndarray, ro
             human = np.clip([(k0 @ (label == 1) + 0.02) / (k0.sum() + 1), (k1 @ (label == 1) + 0.98) / (k1.sum() + 1)], 0.005, 0.995)
         if r % 10 == 5:
             share = 1 / (1 + _repeated(fired, weight * post, rate[1]) / 2 + _repeated(fired, weight * (1 - post), rate[0]) / 2)
-        said = np.where(fired == 1, np.log(rate[1] / rate[0]), np.log((1 - rate[1]) / (1 - rate[0])))
+        said = np.where(fired == 1, np.log(rate[1] / rate[0]), SILENCE * np.log((1 - rate[1]) / (1 - rate[0])))
         logit = np.log(prior / (1 - prior)) + said @ share
         logit = logit + np.where(label == 1, np.log(human[1] / human[0]), np.where(label == 0, np.log((1 - human[1]) / (1 - human[0])), 0))
         post = 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
@@ -153,7 +155,7 @@ def _repeated(fired: np.ndarray, weight: np.ndarray, rate: np.ndarray) -> np.nda
     return rho.sum(1) - np.diag(rho)
 
 
-def fit_classifier(x: np.ndarray, soft: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
+def fit_classifier(x: np.ndarray, soft: np.ndarray, ridge: float = 0.03, rounds: int = 25) -> np.ndarray:
     """Logistic regression on posterior labels by Newton's method: weights, the last one the intercept."""
     x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
@@ -201,12 +203,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text
     fit = train.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_FIT).collect()
     x = np.zeros((len(fit), len(terms)), dtype=np.float32)
     for i, r in enumerate(fit):
-        x[i, r.term] = np.log1p(r.n)
+        x[i, r.term] = 1 + np.log(r.n)
     y = np.array([soft[(*[r[c] for c in names], r.toxic)] for r in fit])
     w = fit_classifier(x, y) if len(fit) else np.zeros(len(terms) + 1)
 
     weights = F.lit([float(v) for v in w[:-1]]).cast("array<double>")
-    logit = F.aggregate(F.zip_with("term", "n", lambda t, n: F.get(weights, t) * F.log1p(n.cast("double"))), F.lit(float(w[-1])), lambda a, v: a + v)
+    logit = F.aggregate(F.zip_with("term", "n", lambda t, n: F.get(weights, t) * (1 + F.log(n.cast("double")))), F.lit(float(w[-1])), lambda a, v: a + v)
     score = 1 / (1 + F.exp(-F.least(F.greatest(logit, F.lit(-40.0)), F.lit(40.0))))
     scored = counted.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
