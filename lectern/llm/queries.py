@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, mixing, oracles, quality, secrets, simhash, tokens, toxicity, urls
+from . import decontaminate, licenses, mixing, oracles, quality, secrets, simhash, substrings, tokens, toxicity, urls
 from .common import read
 
 #: Pieces and scores that op5 takes as its vocabulary: a public tokenizer's file.
@@ -30,6 +30,11 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that no earlier passage repeats."""
+    return substrings.substring_dedup(read(spark, sf_dir, "documents")).drop("kept")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str, model: str = UNIGRAM) -> DataFrame:
     """Tokens of every document."""
     return tokens.token_counts(read(spark, sf_dir, "documents"), tokens.vocabulary(model))
@@ -62,6 +67,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_url_filter, op2_toxicity, op3_decontaminate, op5_token_counts, op6_quality_rules, op7_mix_sources, op8_license_scan, op9_secret_scan, op10_simhash,
+    op1_url_filter, op2_toxicity, op3_decontaminate, op4_substring_dedup, op5_token_counts, op6_quality_rules, op7_mix_sources, op8_license_scan, op9_secret_scan, op10_simhash,
 )}
 ORACLES = oracles.ORACLES

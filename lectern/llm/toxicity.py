@@ -23,7 +23,7 @@ PREFIXES = (5, 6, 7, 8)
 WORD_VOTERS, PATTERN_VOTERS = 6, 4
 THRESHOLD = 0.3
 #: Weight of a voter's silence: a text in one language is no evidence for words of another.
-SILENCE = 0.8
+SILENCE = 0.6
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -155,7 +155,7 @@ def _repeated(fired: np.ndarray, weight: np.ndarray, rate: np.ndarray) -> np.nda
     return rho.sum(1) - np.diag(rho)
 
 
-def fit_classifier(x: np.ndarray, soft: np.ndarray, ridge: float = 0.03, rounds: int = 25) -> np.ndarray:
+def fit_classifier(x: np.ndarray, soft: np.ndarray, ridge: float = 0.1, rounds: int = 25) -> np.ndarray:
     """Logistic regression on posterior labels by Newton's method: weights, the last one the intercept."""
     x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
