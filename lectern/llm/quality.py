@@ -162,16 +162,38 @@ def quality_rules(
     null or empty fails the base rules.  Without labels no cutoff is certified
     and only base rules reject.
     """
+    feats, cuts = _fit(docs, labels, doc_id, text, stratum, risk, level)
+    return _judged(feats, cuts).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), "kept"
+    )
+
+
+def _fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, stratum: str, risk: float, level: float) -> tuple[DataFrame, DataFrame]:
     feats = docs.select(F.col(doc_id).alias("doc_id"), F.col(stratum).alias("_stratum"), F.col(text).alias("_text"))
     feats = materialize(text_features(feats, "_text").drop("_text"), "quality")
     holdout = labels.select(F.col("doc_id"), F.col("quality")).where("quality is not null")
     cuts = fit_cutoffs(feats.join(holdout, "doc_id"), "_stratum", F.col("quality") == 1, risk, level)
-    cuts = materialize(cuts.withColumnRenamed("_stratum", "_of"), "cutoffs")
+    return feats, materialize(cuts.withColumnRenamed("_stratum", "_of"), "cutoffs")
+
+
+def _judged(feats: DataFrame, cuts: DataFrame) -> DataFrame:
     df = join_small(feats, cuts, F.col("_stratum").eqNullSafe(F.col("_of")), "left")
     above = F.lit(False)
     for r, m in metrics().items():
         above = above | F.coalesce(m > F.col(f"cut_{r}"), F.lit(False))
-    return df.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        base_failed().alias("base_failed"), (~base_failed() & ~above).alias("kept"),
-    )
+    return df.withColumn("kept", ~base_failed() & ~above)
+
+
+def keep_good(
+    docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", stratum: str = "lang", risk: float = 0.05, level: float = 0.05
+) -> DataFrame:
+    """The rows of docs that quality_rules keeps, with their own columns.
+
+    Features are computed again where the rows are, which costs less than
+    shuffling texts to meet their verdicts.
+    """
+    _, cuts = _fit(docs, labels, doc_id, text, stratum, risk, level)
+    rows = docs.select(F.struct("*").alias("_row"), F.col(stratum).alias("_stratum"), F.col(text).alias("_text"))
+    judged = _judged(text_features(rows, "_text"), cuts)
+    # A filter on `kept` itself would be pushed below the features and compute them many times over.
+    return judged.withColumn("_kept", F.explode(F.array("kept"))).where("_kept").select("_row.*")

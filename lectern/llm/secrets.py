@@ -87,8 +87,8 @@ def secret_scan(
 ) -> DataFrame:
     """Spans of secrets in every row of docs.
 
-    Returns doc_id, n_assign, n_access, n_hex, n_owned and spans, an array of
-    (start, rank, end) in order, where rank is the place in KINDS and offsets
+    Returns doc_id, text_key (xxhash64 of the text), n_assign, n_access, n_hex,
+    n_owned and spans, an array of (start, rank, end) in order, where rank is the place in KINDS and offsets
     are code points, end exclusive.  The three base kinds are always kept.  A
     candidate token outside them is kept as `owned` if at most `max_owners`
     owners (source) hold its value in any of their repositories (documents);
@@ -104,7 +104,7 @@ def secret_scan(
         }
     ).withColumn("base", F.array_sort(F.concat("assign", "access", "hex")))
     rows = rows.select(
-        F.monotonically_increasing_id().alias("rid"), "doc_id", "owner", "base", candidates(F.col("t"), F.col("base")).alias("found")
+        F.monotonically_increasing_id().alias("rid"), "doc_id", F.xxhash64("t").alias("text_key"), "owner", "base", candidates(F.col("t"), F.col("base")).alias("found")
     )
     rows = materialize(rows, "secrets")
     found = rows.where(F.size("found") > 0).select("rid", "owner", F.col("doc_id").alias("repo"), F.explode("found").alias("c")).select("rid", "owner", "repo", "c.*")
@@ -117,11 +117,36 @@ def secret_scan(
     count = lambda k: F.size(F.filter("base", lambda s: s["rank"] == KINDS.index(k))).cast("bigint")
     spans = F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", F.col("more"))))
     return full.select(
-        "doc_id", *[count(k).alias(f"n_{k}") for k in KINDS[:3]], F.coalesce(F.size("more"), F.lit(0)).alias("n_owned"), spans.alias("spans")
+        "doc_id", "text_key", *[count(k).alias(f"n_{k}") for k in KINDS[:3]], F.coalesce(F.size("more"), F.lit(0)).alias("n_owned"), spans.alias("spans")
     )
 
 
 def digest(found: DataFrame) -> DataFrame:
     """The spans as strings: base_sha256 and spans."""
     base = F.filter("spans", lambda s: s["rank"] < 3)
-    return found.withColumns({"base_sha256": F.sha2(_joined(base), 256), "spans": _joined(F.col("spans"))}).drop("n_owned")
+    return found.withColumns({"base_sha256": F.sha2(_joined(base), 256), "spans": _joined(F.col("spans"))}).drop("n_owned", "text_key")
+
+
+def redact(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", owner: str = "source", mark: str = "[SECRET]") -> DataFrame:
+    """The rows of docs with every span of secret_scan replaced by `mark`.
+
+    Overlapping spans become one mark.  Only spans shuffle as candidates; the
+    texts shuffle once to meet them, by id and text.
+    """
+    found = secret_scan(docs, doc_id=doc_id, text=text, owner=owner).where(F.size("spans") > 0)
+    found = found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "spans").dropDuplicates(["_id", "_key"]).hint("shuffle_hash")
+    rows = docs.select(F.struct("*").alias("_row"), F.col(doc_id).alias("_doc"), F.col(text).alias("_t"))
+    rows = rows.join(found, F.col("_doc").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("_t", F.lit(""))) == F.col("_key")), "left")
+    t = F.col("_t")
+
+    def step(acc: Column, s: Column) -> Column:
+        out = F.concat(acc["out"], F.substring(t, acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int")), F.lit(mark))
+        return (
+            F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), out.alias("out")))
+            .otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
+        )
+
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+    clean = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"].cast("int") + 1, F.length(t))))
+    clean = F.when(F.col("spans").isNull(), t).otherwise(clean)
+    return rows.select(F.col("_row").withField(text, clean).alias("_row")).select("_row.*")
