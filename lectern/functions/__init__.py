@@ -1 +1 @@
-
+"""Column functions: text normalisers, identifiers, numbering, similarity."""

@@ -1 +1 @@
-
+"""Readers: fixture tables, markdown folders, reference files, layout items."""
