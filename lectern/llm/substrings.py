@@ -48,7 +48,8 @@ def window_runs(docs: DataFrame) -> DataFrame:
 
     `again` says that the same run starts earlier among the rows that the task
     hashed with this one.  Such rows need no look at the index, which bounds
-    what a passage in a third of all documents sends to one partition.
+    what a passage in a third of all documents sends to one partition; those
+    that follow each other become one, under its place in lieu of hashes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,13 +62,25 @@ def window_runs(docs: DataFrame) -> DataFrame:
             head = np.concatenate([[True], (a[1:] != a[:-1]) | (r[1:] != r[:-1])])[: len(a)]
             first = np.maximum.accumulate(np.where(head, np.arange(len(a)), 0)) if len(a) else order
             again = (i != i[first]) | (s != s[first])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (a, r, i, s.astype(np.int32), n[order].astype(np.int32), again)], ["ah", "rh", "doc_id", "lo", "n", "again"]
-            )
-
+            fresh = [x[~again] for x in (a, r, i, s, n[order])]
+            i, s, m = _merged(i[again], s[again], n[order][again])
+            rows_ = [np.concatenate(x) for x in zip(fresh, (i, s, i, s, m), strict=True)]
+            flag = np.arange(len(rows_[0])) >= len(fresh[0])
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(x).cast(t) for x, t in zip((*rows_, flag), types, strict=True)], names)
+
+    names = ["ah", "rh", "doc_id", "lo", "n", "again"]
     return docs.mapInArrow(run, RUN + ", again boolean")
 
 
+def _merged(ids: np.ndarray, low: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Join runs of one text where one starts as the other ends."""
+    order = np.lexsort((low, ids))
+    ids, low, n = ids[order], low[order], n[order]
+    new = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (low[1:] > (low + n)[:-1])])[: len(ids)])
+    return ids[new], low[new], np.maximum.reduceat(low + n, new) - low[new] if len(new) else n
+
+
 class FingerprintIndex:
     """Sorted immutable runs of the window fingerprints seen so far.
 
