@@ -13,8 +13,9 @@ NOTE_HINT = r"(?i)메모|코멘트|하이라이트|표시|note|comment|highlight
 
 def postings(chunks: DataFrame, row: str, text: str = "text", split: Column | None = None) -> DataFrame:
     """row, term, tf and the chunk's length in tokens; chunks without tokens have none."""
-    t = chunks.select(F.col(row).alias("row"), (tokens(F.col(text)) if split is None else split).alias("t")).where(F.size("t") > 0)
-    return t.select("row", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("row", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    t = chunks.select(F.col(row).alias("row"), (tokens(F.col(text)) if split is None else split).alias("t"))
+    t = t.select("row", F.size("t").alias("len"), F.explode_outer("t").alias("term")).where("term is not null")  # explode would tokenise twice
+    return t.groupBy("row", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def statistics(chunks: DataFrame, text: str = "text", split: Column | None = None) -> DataFrame:
