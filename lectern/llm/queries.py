@@ -63,7 +63,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash and near-duplicate class of every document."""
     found = simhash.simhash_components(read(spark, sf_dir, "documents"))
-    return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id", "links")
+    return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 QUERIES = {f.__name__: f for f in (

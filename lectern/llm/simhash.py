@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -82,13 +82,15 @@ def plan_segments(n: int, radius: int) -> list[tuple[int, int, int]]:
     return [(a, b - a, r if i <= extra else r - 1) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if i <= extra or r]
 
 
-def links(prints: DataFrame, radius: int) -> DataFrame:
+def links(prints: DataFrame, radius: int, near: Callable[[str, str], Column] | None = None) -> DataFrame:
     """All pairs of nodes whose fingerprints are within `radius` bits, each once: u < v.
 
-    prints: `node` (bigint, distinct) and `fp`.  Every fingerprint goes into a
+    prints: `node` (bigint, distinct), `fp`, and maybe `group`: nodes of one
+    group are linked already and make no pairs.  Every fingerprint goes into a
     table under each segment's value; each one asks for all values in the
     Hamming ball about its own, and matches are verified on the whole
-    fingerprint.  A pair is reported by the first segment that finds it.
+    fingerprint, and by `near`, a condition on two sides with all columns of
+    prints.  A pair is reported by the first segment that finds it.
     """
     plan = plan_segments(prints.count(), radius)
     part = lambda c, a, w: F.shiftright(c, a).bitwiseAND(F.lit((1 << w) - 1))
@@ -96,13 +98,43 @@ def links(prints: DataFrame, radius: int) -> DataFrame:
     flips = [[sum(1 << b for b in c) for k in range(r + 1) for c in combinations(range(w), k)] for _, w, r in plan]
     balls = F.concat(*[_ball(key(i, a, w), flips[i]) for i, (a, w, _) in enumerate(plan)])
     cells = F.array(*[key(i, a, w) for i, (a, w, _) in enumerate(plan)])
-    asked = prints.select(F.explode(balls).alias("key"), F.col("node").alias("p"), F.col("fp").alias("p_fp"))
-    table = prints.select(F.explode(cells).alias("key"), F.col("node").alias("t"), F.col("fp").alias("t_fp"))
-    apart = F.col("p_fp").bitwiseXOR(F.col("t_fp"))
-    on = (F.col("asked.key") == F.col("table.key")) & (F.col("p") < F.col("t")) & (F.bit_count(apart) <= radius)
+    side = lambda keys, n: prints.select(F.explode(keys).alias("key"), *prints.columns).alias(n)
+    asked, table = side(balls, "p"), side(cells, "t")
+    apart = F.col("p.fp").bitwiseXOR(F.col("t.fp"))
+    on = (F.col("p.key") == F.col("t.key")) & (F.col("p.node") < F.col("t.node")) & (F.bit_count(apart) <= radius)
+    if "group" in prints.columns:
+        on = on & (F.col("p.group") != F.col("t.group"))
     for i, (a, w, r) in enumerate(plan):
-        on = on & ((F.shiftright(F.col("table.key"), 48) <= i) | (F.bit_count(part(apart, a, w)) > r))
-    return asked.alias("asked").join(table.alias("table"), on).select(F.col("p").alias("u"), F.col("t").alias("v"))
+        on = on & ((F.shiftright(F.col("t.key"), 48) <= i) | (F.bit_count(part(apart, a, w)) > r))
+    if near is not None:
+        on = on & near("p", "t")
+    return asked.join(table, on).select(F.col("p.node").alias("u"), F.col("t.node").alias("v"))
+
+
+def star_links(prints: DataFrame, radius: int, near: Callable[[str, str], Column] | None = None) -> DataFrame:
+    """Links that connect most of a dense group without its pairs: u (a node), v (a smaller one), within `radius` bits.
+
+    Fingerprints are cut into six parts; nodes that agree in three of them meet
+    in a cell, and each links to the smallest node of the cell if the two are
+    verified.  So links grow with the nodes, not with the pairs of a group.
+    """
+    cuts = [round(BITS * i / 6) for i in range(7)]
+    parts = [((1 << b) - (1 << a)) for a, b in zip(cuts, cuts[1:], strict=False)]
+    masks = [sum(c) for c in combinations(parts, 3)]
+    signed = [m - (1 << BITS) if m >= 1 << (BITS - 1) else m for m in masks]
+    cells = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(signed)])
+    rows = prints.select(F.explode(cells).alias("cell"), "node")
+    first = rows.groupBy("cell").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").select("cell", "v")
+    pairs = rows.join(first, "cell").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
+    rest = [c for c in prints.columns if c != "node"]
+    end = lambda n: prints.select(F.col("node").alias(n), *rest).alias(n)
+    ok = F.bit_count(F.col("u.fp").bitwiseXOR(F.col("v.fp"))) <= radius
+    return pairs.join(end("u"), "u").join(end("v"), "v").where(ok if near is None else ok & near("u", "v")).select("u", "v")
+
+
+def grouped(prints: DataFrame, stars: DataFrame) -> DataFrame:
+    """Add `group`, the smallest node that stars connect a node to."""
+    return prints.join(components(stars), "node", "left").withColumn("group", F.coalesce("root", "node")).drop("root")
 
 
 def _ball(key: Column, flips: list[int]) -> Column:
@@ -112,24 +144,26 @@ def _ball(key: Column, flips: list[int]) -> Column:
 def simhash_components(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 4, radius: int = 4, seed: int = 42
 ) -> DataFrame:
-    """SimHash and near-duplicate class of every row of docs: doc_id, fp, component_id, links.
+    """SimHash and near-duplicate class of every row of docs: doc_id, fp, component_id.
 
     Classes are the connected components of fingerprints at most `radius` bits
-    apart; component_id is the smallest doc_id in the class, `links` the number
-    of different fingerprints that the document's own is linked to.  Equal
-    fingerprints collapse before the search, so copies make no pairs.  Null and
+    apart; component_id is the smallest doc_id in the class.  Equal
+    fingerprints collapse before the search, so copies make no pairs; stars
+    then connect dense groups, and the search, which misses nothing, asks only
+    for links between different groups.  Null and
     empty texts have fingerprint zero and link like any other; rows that
     repeat are answered row by row.
     """
     prints = materialize(with_fingerprints(docs, doc_id, text, {"fp": {"width": width}}, seed), "fingerprints")
     firsts = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    pairs = materialize(links(firsts.select("fp", F.col("fp").alias("node")), radius), "simhash-links")
-    degree = pairs.select(F.explode(F.array("u", "v")).alias("fp")).groupBy("fp").agg(F.count(F.lit(1)).alias("links"))
+    nodes = firsts.select("fp", F.col("fp").alias("node"))
+    stars = materialize(star_links(nodes, radius), "simhash-stars")
+    pairs = materialize(stars.unionByName(links(materialize(grouped(nodes, stars), "simhash-groups"), radius)), "simhash-links")
     roots = components(pairs).withColumnRenamed("node", "fp")
     named = firsts.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     of = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = named.join(of, "root").select("fp", "component_id").join(degree, "fp", "left").withColumn("links", F.coalesce("links", F.lit(0)))
-    return prints.join(materialize(named, "simhash-classes"), "fp").select("doc_id", "fp", "component_id", "links")
+    named = named.join(of, "root").select("fp", "component_id")
+    return prints.join(materialize(named, "simhash-classes"), "fp").select("doc_id", "fp", "component_id")
 
 
 #: Words of the sketch that verifies similarity, and the bits in which two
@@ -161,10 +195,10 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     same = materialize(same, "near-same")
     odd = same.where("node is null").groupBy("fp", *sketch).agg(F.min("doc_id").alias("node"))
     nodes = materialize(firsts.unionByName(odd.select(firsts.columns)), "near-nodes")
-    pairs = links(nodes.select("node", "fp"), radius)
-    side = lambda n: nodes.select(F.col("node").alias(n), *sketch).alias(n)
-    pairs = pairs.join(side("u"), "u").join(side("v"), "v").where(apart("u", "v") <= SKETCH_RADIUS).select("u", "v")
-    roots = components(pairs)
+    like = lambda a, b: apart(a, b) <= SKETCH_RADIUS
+    stars = materialize(star_links(nodes, radius, like), "near-stars")
+    pairs = links(materialize(grouped(nodes, stars), "near-groups"), radius, like)
+    roots = components(stars.unionByName(pairs))
     named = odd.withColumnRenamed("node", "odd")
     of = same.join(named, ["fp", *sketch], "left").select("doc_id", F.coalesce("node", "odd").alias("node"))
     return of.join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("component_id"))
