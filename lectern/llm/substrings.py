@@ -19,7 +19,7 @@ WINDOW = 20
 #: Words of an anchor: more make the index larger and accidental matches rarer.
 GRAM = 8
 #: Words that a task hashes at once.
-CHUNK = 400_000
+CHUNK = 200_000
 #: Runs of the index beyond which they are compacted into one.
 MOST_RUNS = 4
 RUN = "ah bigint, rh bigint, doc_id bigint, lo int, n int"

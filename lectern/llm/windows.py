@@ -7,7 +7,7 @@ import xxhash
 
 #: Odd multipliers of the two rolling hashes, fixed because stored indexes hold their values.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 
 class WordHashes(dict):
