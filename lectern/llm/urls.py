@@ -14,6 +14,8 @@ RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
 #: A host is blocked if its rate of bad pages is above LIMIT with Z standard deviations to spare.
 LIMIT, Z = 0.3, 1.645
+#: Rate of bad pages where nothing is labelled; counts as one page.
+PRIOR = 0.1
 
 
 def host_of(url: Column) -> Column:
@@ -93,7 +95,7 @@ def host_reputation(outcomes: DataFrame) -> DataFrame:
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     total = suffixes.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
-    mean = ((total["k"] or 0) + 0.5) / ((total["n"] or 0) + 1)
+    mean = ((total["k"] or 0) + PRIOR) / ((total["n"] or 0) + 1)
     post = lambda m: (F.col("k") + m * F.col("mu")) / (F.col("n") + m)
 
     suffixes = suffixes.withColumn("mu", F.lit(mean))
