@@ -85,8 +85,8 @@ def search_chunks(rows: DataFrame) -> DataFrame:
     """Sections as search rows: doc_id, row, heading carried forward, text, and whether there is a body to search."""
     s = carry_forward(sections(rows), F.col("heading"), "near", pos="section")
     order = F.row_number().over(in_order("doc_id", pos="section")) - 1
-    body = F.trim(F.regexp_replace("text", r"(?m)^\s*#{1,6}\s+.*$", ""))
-    return s.select("doc_id", order.alias("row"), F.coalesce("near", F.lit("")).alias("heading"), "text", (body != "").alias("searchable"))
+    body = F.regexp_replace("text", r"(?m)^\s*#{1,6}\s+.*$", "")
+    return s.select("doc_id", order.alias("row"), F.coalesce("near", F.lit("")).alias("heading"), "text", body.rlike(r"\S").alias("searchable"))
 
 
 def align(original: DataFrame, translated: DataFrame) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections import Counter
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import tokens
+from lectern.session import materialize
 
 K1, B, REPEAT, TOP = 1.5, 0.75, 0.15, 8
 NOTE_HINT = r"(?i)메모|코멘트|하이라이트|표시|note|comment|highlight|annotat"
@@ -50,11 +53,26 @@ def top(scores: DataFrame, k: int = TOP, by: str | None = None) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def search(chunks: DataFrame, question: str, row: str, text: str = "text", k: int = TOP) -> DataFrame:
-    """The k best chunks for a question."""
-    spark = chunks.sparkSession
-    query = spark.range(1).select(F.explode(tokens(F.lit(question))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("qn"))
-    return top(bm25(postings(chunks, row, text), query, statistics(chunks, text).first().asDict()), k)
+def search(chunks: DataFrame, question: list[str], row: str, text: str = "text", k: int = TOP, digits: int | None = None) -> DataFrame:
+    """The k best chunks for the tokens of one question: row, score.
+
+    The corpus is tokenised once: each chunk keeps its length and the tokens
+    asked for, from which document frequencies, the average length and the
+    scores follow.
+    """
+    wanted = Counter(question)
+    kept = F.filter("t", lambda t: t.isin(list(wanted)))
+    small = chunks.select(F.col(row).alias("row"), tokens(F.col(text)).alias("t")).select("row", F.size("t").alias("len"), kept.alias("t"))
+    small = materialize(small, "search")
+    stats = small.where("len > 0").agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl")).first().asDict()
+    posts = small.select("row", "len", F.explode("t").alias("term")).groupBy("row", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    query = chunks.sparkSession.createDataFrame(list(wanted.items()), "term string, qn long")
+    scores = bm25(posts, query, stats)
+    return top(scores if digits is None else scores.withColumn("score", F.round("score", digits)), k)
+
+
+def question_tokens(spark: SparkSession, question: str) -> list[str]:
+    return spark.range(1).select(tokens(F.lit(question)).alias("t")).first().t
 
 
 def retrieve(chunks: DataFrame, ranked: DataFrame, notes: DataFrame, question: str, k: int = TOP) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.functions.text import LETTERS, STOP_WORDS, consecutive, tokens
+from lectern.functions.text import LETTERS, STOP_WORDS, consecutive
 from lectern.operators import annotations, search
 from lectern.sources.tables import load, relation
 
@@ -46,12 +46,9 @@ select row as doc_id, score from scored order by score desc, row limit 10
 @query("bm25_search", _BM25)
 def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten documents that fit the first benchmark item best (2.8.1, 2.6.6, 2.10.2)."""
-    docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("row"), "text")
-    asked = load(spark, sf_dir, "benchmark").where("item_id = 0").select(F.explode(tokens(F.col("text"))).alias("term"))
-    q = asked.groupBy("term").agg(F.count(F.lit(1)).alias("qn"))
-    scores = search.bm25(search.postings(docs, "row"), q, search.statistics(docs).first().asDict())
-    rounded = scores.withColumn("score", F.round("score", 4))
-    return search.top(rounded, 10).select(F.col("row").alias("doc_id"), "score")
+    question = load(spark, sf_dir, "benchmark").where("item_id = 0").first().text
+    found = search.search(load(spark, sf_dir, "documents"), search.question_tokens(spark, question), "doc_id", k=10, digits=4)
+    return found.select(F.col("row").alias("doc_id"), "score")
 
 
 @query("bm25_terms", f"with {_POSTS} select term, count(*) as df, sum(tf)::bigint as n from tf group by term having count(*) >= 20")

@@ -181,7 +181,8 @@ def test_bibtex_entries():
 
 def test_captions_pair_once():
     rows = ["![](a.png)", "Figure 1: first", "![](b.png)", "", "(a) sub", "Fig. 2. second", "Table 3 shows", "![](c.png)", "prose", "Figure 9: far"]
-    assert sequences.pair_captions(rows) == [(0, 1, "Figure 1"), (2, 5, "Figure 2"), (7, 6, "Table 3")]
+    assert sequences.pair_captions(rows) == [(0, 1, "Figure 1"), (2, 5, "Figure 2"), (7, 9, "Figure 9")]
+    assert sequences.pair_captions(rows[:9]) == [(0, 1, "Figure 1"), (2, 5, "Figure 2"), (7, 6, "Table 3")]
 
 
 def test_merge_keeps_both_sides_and_counts_conflicts():
