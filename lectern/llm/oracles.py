@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import secrets, urls
 from .quality import RULES
 
 _CUTS = ", ".join(f"('{r}', {i}, {c}::double)" for r, cuts in RULES.items() for i, c in enumerate(cuts))
@@ -54,4 +55,76 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 from b
 """
 
-ORACLES: dict[str, str] = {"op6_quality_rules": _OP6}
+_FIT = " ".join(
+    f"when (host = '{h}' or suffix(host, '.{h}')) and prefix(path, '/{p}') then '{rule}'"
+    for rule, h, p in sorted(((r, *r.split("/", 1)) for _, r in urls.RULES), key=lambda x: -len(x[0]))
+)
+_SAYS = " ".join(f"when '{r}' then '{v}'" for v, r in urls.RULES)
+_SECOND = ", ".join(f"'{x}'" for x in urls.SECOND_LEVEL)
+
+
+def _strength(children: str) -> str:
+    rho = f"(select coalesce(sum(n * pow(k / n - mu, 2) - mu * (1 - mu)) / nullif(sum(mu * (1 - mu) * (n - 1)), 0), 0.0) from {children} where n > 0)"
+    return f"(select round(1 / least(greatest({rho}, 1e-3), 0.5) - 1, 6) as m)"
+
+
+_OP1 = f"""
+with r as (select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+p as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{urls.UPPER}', '{urls.LOWER}') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from r),
+l as (select doc_id as page_id, max((quality = 0 or toxic = 1)::int) as bad from labels group by doc_id having max((quality = 0 or toxic = 1)::int) is not null),
+h0 as (select host, count(bad)::double as n, coalesce(sum(bad), 0)::double as k, string_split(host, '.') as parts from p left join l using (page_id) group by host),
+h1 as (select *, case when regexp_matches(host, '^[0-9.]+(:[0-9]+)?$') then host
+  else array_to_string(parts[greatest(len(parts) - case when len(parts) > 2 and length(parts[-1]) = 2 and parts[-2] in ({_SECOND}) then 3 else 2 end + 1, 1):], '.') end as domain from h0),
+h as (select *, case when contains(domain, '.') then substr(domain, strpos(domain, '.') + 1) else domain end as sfx from h1),
+d as (select domain, sfx, sum(n) as n, sum(k) as k from h group by all),
+s0 as (select sfx, sum(n) as n, sum(k) as k from d group by sfx),
+s1 as (select *, (select (coalesce(sum(k), 0) + {urls.PRIOR}) / (coalesce(sum(n), 0) + 1) from s0) as mu from s0),
+s as (select sfx, (k + m * mu) / (n + m) as mu from s1, {_strength("s1")}),
+d1 as (select d.*, s.mu from d join s using (sfx)),
+d2 as (select domain, (k + m * mu) / (n + m) as mu from d1, {_strength("d1")}),
+h2 as (select h.host, h.n, h.k, d2.mu from h join d2 using (domain)),
+t as (select host, n, m, (k + m * mu) / (n + m) as theta from h2, {_strength("h2")}),
+b as (select host from t where theta - {urls.Z} * sqrt(theta * (1 - theta) / (n + m + 1)) > {urls.LIMIT}),
+j as (select page_id, host, path, case {_FIT} end as rule from p)
+select page_id, host, path, rule, case rule {_SAYS} else case when host in (select host from b) then 'block' else 'allow' end end as verdict from j
+"""
+
+_OP4 = """
+with d as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+wins as (select doc_id, i, array_to_string(w[i:i + 19], ' ') as win from d, lateral (select unnest(generate_series(1, len(w) - 19)) as i)),
+again as (select doc_id, i from wins qualify row_number() over (partition by win order by doc_id, i) > 1),
+gone as (select distinct doc_id, i + k as pos from again, (select unnest(generate_series(0, 19)) as k)),
+words as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as pos from d),
+kept as (select doc_id, string_agg(word, ' ' order by pos) as t, count(*) as n from words where not exists (select 1 from gone where gone.doc_id = words.doc_id and gone.pos = words.pos) group by doc_id)
+select d.doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256 from d left join kept using (doc_id)
+"""
+
+
+def _spans(name: str, pattern: str) -> str:
+    p = pattern.replace("'", "''")
+    return f"""
+{name}_m as (select doc_id, unnest(regexp_extract_all(t, '{p}')) as found, unnest((regexp_split_to_array(t, '{p}'))[1:len(regexp_extract_all(t, '{p}'))]) as before,
+  generate_subscripts(regexp_extract_all(t, '{p}'), 1) as k from d),
+{name}_s as (select doc_id, found, sum(length(before) + length(found)) over (partition by doc_id order by k) as stop from {name}_m)"""
+
+
+_OP9 = f"""
+with d as (select doc_id, source, coalesce(text, '') as t from documents),
+{_spans("assign", secrets.ASSIGN)},{_spans("access", secrets.ACCESS)},{_spans("hex", secrets.HEX)},{_spans("token", secrets.TOKEN)},
+base as (
+  select doc_id, 0 as rank, 'assign' as kind, stop - length(found) as start, stop from assign_s where length(regexp_extract(found, '{secrets.ASSIGN.replace("'", "''")}', 2)) >= 12
+  union all select doc_id, 1, 'access', stop - length(found), stop from access_s union all select doc_id, 2, 'hex', stop - length(found), stop from hex_s),
+cand as (
+  select doc_id, source, found, stop - length(found) as start, stop from token_s join d using (doc_id)
+  where regexp_matches(found, '[A-Z]') and regexp_matches(found, '[a-z]') and regexp_matches(found, '[0-9].*[0-9].*[0-9]') and len(list_distinct(string_split(found, ''))) >= 10
+    and not regexp_matches(found, '(?i)example|sample|dummy|placeholder|xxxx')),
+free as (select * from cand c where not exists (select 1 from base b where b.doc_id = c.doc_id and b.start < c.stop and c.start < b.stop)),
+owned as (select found from free group by found having count(distinct coalesce('s' || source, '')) <= 1),
+spans as (select * from base union all select doc_id, 3, 'owned', start, stop from free where found in (select found from owned)),
+g as (select doc_id, string_agg(kind || ':' || start || ':' || stop, ',' order by start, rank) as spans, string_agg(kind || ':' || start || ':' || stop, ',' order by start, rank) filter (rank < 3) as base,
+  count(*) filter (rank = 0) as n_assign, count(*) filter (rank = 1) as n_access, count(*) filter (rank = 2) as n_hex from spans group by doc_id)
+select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from d left join g using (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op1_url_filter": _OP1, "op4_substring_dedup": _OP4, "op6_quality_rules": _OP6, "op9_secret_scan": _OP9}
