@@ -15,7 +15,7 @@ from .common import materialize
 
 #: Labelled rows that the lexicon is learned from, and rows that the classifier
 #: is fitted on, both the first by a hash of doc_id; terms of the lexicon.
-MOST_LABELLED, MOST_FIT, MOST_TERMS = 20_000, 40_000, 400
+MOST_LABELLED, MOST_FIT, MOST_TERMS = 20_000, 20_000, 400
 #: A seed lexicon of common insults.
 SEED = ("idiot", "idiots", "imbecile", "moron", "moronic", "stupid", "dumb", "scum", "trash", "loser", "clown", "pathetic", "worthless", "disgusting")
 #: Prefix lengths of pattern terms, written `prefix*`.
@@ -23,7 +23,7 @@ PREFIXES = (5, 6, 7, 8)
 WORD_VOTERS, PATTERN_VOTERS = 6, 4
 THRESHOLD = 0.3
 #: Weight of a voter's silence: a text in one language is no evidence for words of another.
-SILENCE = 0.6
+SILENCE = 0.85
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -120,14 +120,14 @@ def fit_label_model(fired: np.ndarray, label: np.ndarray, weight: np.ndarray, ro
     rows (1, 0, or -1 for none), itself a voter that may err; weight: rows.
     Expectation maximisation estimates each voter's rates of firing on both
     classes.  Correlations of voters within a class are then estimated from
-    the posteriors, and a voter counts in inverse proportion to how much
-    others repeat it; both steps alternate.
+    the posteriors, and in the posterior that is returned a voter counts in
+    inverse proportion to how much others repeat it.
     """
     known = label >= 0
     start = np.where(known, np.clip(label, 0.02, 0.98), np.where(fired.any(1), 0.5, 0.02))
     share, post = np.ones(fired.shape[1]), start
     human = np.array([0.02, 0.98])
-    for r in range(rounds):
+    for r in range(rounds + 1):
         w1, w0 = weight * post, weight * (1 - post)
         prior = np.clip(w1.sum() / max(weight.sum(), 1e-9), 1e-3, 0.5)
         rate = np.stack([(w0 @ fired + 0.1) / (w0.sum() + 1), (w1 @ fired + 0.5) / (w1.sum() + 1)])
@@ -135,7 +135,7 @@ def fit_label_model(fired: np.ndarray, label: np.ndarray, weight: np.ndarray, ro
         if known.any():
             k1, k0 = (w1 * known), (w0 * known)
             human = np.clip([(k0 @ (label == 1) + 0.02) / (k0.sum() + 1), (k1 @ (label == 1) + 0.98) / (k1.sum() + 1)], 0.005, 0.995)
-        if r % 10 == 5:
+        if r == rounds:
             share = 1 / (1 + _repeated(fired, weight * post, rate[1]) / 2 + _repeated(fired, weight * (1 - post), rate[0]) / 2)
         said = np.where(fired == 1, np.log(rate[1] / rate[0]), SILENCE * np.log((1 - rate[1]) / (1 - rate[0])))
         logit = np.log(prior / (1 - prior)) + said @ share
@@ -156,14 +156,16 @@ def _repeated(fired: np.ndarray, weight: np.ndarray, rate: np.ndarray) -> np.nda
 
 
 def fit_classifier(x: np.ndarray, soft: np.ndarray, ridge: float = 0.1, rounds: int = 25) -> np.ndarray:
-    """Logistic regression on posterior labels by Newton's method: weights, the last one the intercept."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
+    """Logistic regression on posterior labels by Newton's method: a weight for each column of x, whose last one is constant."""
     w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
     penalty[-1] = 1e-3
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - soft) + penalty * w
-        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty)
+        g, h = penalty * w, np.diag(penalty)
+        for at in range(0, len(x), 2048):
+            part = x[at : at + 2048].astype(float)
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            g += part.T @ (p - soft[at : at + 2048])
+            h += (part * (p * (1 - p))[:, None]).T @ part
         step = np.linalg.solve(h, g)
         w = w - step
         if np.abs(step).max() < 1e-6:
@@ -200,12 +202,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text
     post, _ = fit_label_model(table[:, :-2], table[:, -2], table[:, -1].astype(float)) if len(table) else (np.zeros(0), {})
     soft = {tuple(row[:-1]): p for row, p in zip(table.tolist(), post.tolist(), strict=True)}
 
-    fit = train.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_FIT).collect()
-    x = np.zeros((len(fit), len(terms)), dtype=np.float32)
-    for i, r in enumerate(fit):
-        x[i, r.term] = 1 + np.log(r.n)
-    y = np.array([soft[(*[r[c] for c in names], r.toxic)] for r in fit])
-    w = fit_classifier(x, y) if len(fit) else np.zeros(len(terms) + 1)
+    fit = train.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_FIT).select("term", "n", F.array(*names, "toxic").alias("pattern"))
+    x, y = np.zeros((MOST_FIT, len(terms) + 1), dtype=np.float32), np.zeros(MOST_FIT)
+    x[:, -1], used = 1, 0
+    for r in fit.toLocalIterator():
+        x[used, r.term] = 1 + np.log(r.n)
+        y[used] = soft[tuple(r.pattern)]
+        used += 1
+    w = fit_classifier(x[:used], y[:used]) if used else np.zeros(len(terms) + 1)
 
     weights = F.lit([float(v) for v in w[:-1]]).cast("array<double>")
     logit = F.aggregate(F.zip_with("term", "n", lambda t, n: F.get(weights, t) * (1 + F.log(n.cast("double")))), F.lit(float(w[-1])), lambda a, v: a + v)
