@@ -221,3 +221,43 @@ def test_model_failures_are_rows(spark):
 
     df = spark.createDataFrame([("ok",), ("bad",)], "text string")
     assert {tuple(r) for r in sequences.with_model(df, call, "p:").collect()} == {("ok", "p:ok", "ok"), ("bad", None, "failed: ValueError")}
+
+
+def test_abstract_by_marker_and_by_length(spark):
+    long = "This is prose that goes on and on about a matter of some weight. " * 4
+    rows = [(1, 0, "# Title"), (1, 1, "Ann Lee"), (1, 2, "Abstract"), (1, 3, long), (1, 4, "# 1 Intro"), (1, 5, long * 3), (2, 0, "# Title"), (2, 1, long), (2, 2, "# 1 Intro"), (2, 3, long * 3), (3, 0, "short")]
+    from lectern.operators.frontmatter import abstract
+
+    got = {r.doc_id: r.abstract for r in abstract(spark.createDataFrame(rows, "doc_id int, block int, text string")).collect()}
+    assert got == {1: long.strip(), 2: long.strip(), 3: None}
+
+
+def test_exports_leave_fences_alone(spark):
+    from lectern.operators.frontmatter import export_lines
+
+    rows = lines.lines(spark.createDataFrame([(1, "[1](#ref-1)\n```\n[1](#ref-1)\n```\n[2](#ref-2)")], "doc_id int, text string"))
+    urls = spark.createDataFrame([(1, "1", "http://x")], "doc_id int, label string, url string")
+    got = [r.line for r in export_lines(rows, urls, "links").orderBy("i").collect()]
+    assert got == ["[1](http://x)", "```", "[1](#ref-1)", "```", "[2](#ref-2)"]
+    assert [r.line for r in export_lines(rows, urls, "blocks").orderBy("i").collect()][0] == "[1](#^ref-1)"
+
+
+def test_collapsed_table_rows_split_only_where_columns_agree():
+    from lectern.operators.grids import connected, row_starts, split_rows
+
+    assert split_rows([["a", "b c"], ["1", "2"]], [[True, True], [True, True]]) == [["a", "1"], ["b c", "2"]]
+    assert split_rows([["a", "b"], ["1", "2"]], [[True, False], [True, True]]) is None
+    assert row_starts([(10, 90), (30, 40), (10, 95)], 100.0) == [True, False, True]
+    assert connected([(0, 0, 10, 10), (50, 50, 60, 60), (11, 0, 20, 10), (20, 9, 30, 30)]) == [0, 1, 0, 0]
+
+
+def test_guarded_writes_and_glosses(spark):
+    from lectern.operators import writing
+
+    stored = spark.createDataFrame([(1, "x" * 100, "s"), (2, "keep", "s")], "id int, text string, stamp string")
+    writes = spark.createDataFrame([(1, "short", "s"), (2, "new", "old"), (3, "first", None), (2, "", "s")], "id int, text string, expect string")
+    assert sorted((r.id, r.outcome) for r in writing.compare_and_set(stored, writes).collect()) == [(1, "trashed"), (2, "conflict"), (2, "deleted"), (3, "written")]
+    units = spark.createDataFrame([(1, 0, "A (a) here"), (1, 1, "again A (a)"), (2, 0, "none")], "doc_id int, pos int, text string")
+    firsts = writing.first_use(units, spark.createDataFrame([(1, "a", "A (a)")], "doc_id int, term string, gloss string"))
+    got = writing.drop_later_glosses(units, firsts, F.regexp_replace("gloss", r" \(.*\)$", "")).orderBy("doc_id", "pos").collect()
+    assert [r.text for r in got] == ["A (a) here", "again A", "none"]
