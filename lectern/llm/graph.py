@@ -9,7 +9,7 @@ from .common import materialize
 
 
 def components(links: DataFrame) -> DataFrame:
-    """Smallest node reachable from each linked node: node, root.
+    """Smallest node reachable from each linked node, but for the smallest itself: node, root.
 
     links: u and v, bigint, each pair once, u <> v.  Alternating large-star and
     small-star steps turn every component into a star about its smallest node;

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -21,23 +22,26 @@ BITS = 64
 
 
 def shingle_hashes(text: bytes, width: int, seed: int, once: bool = False) -> Iterator[np.ndarray]:
-    """XXH64 of the shingles of a UTF-8 text with A-Z lower-cased, in chunks; `once`: each distinct shingle once."""
+    """XXH64 of the shingles of a UTF-8 text with A-Z lower-cased, in chunks; `once`: each distinct one once."""
     found = text.lower().split()  # bytes.lower and bytes.split know ASCII only, as the definition of words does
     if not found:
         return
-    if once or len(found) <= width:
-        shingles = [b" ".join(found[i : i + width]) for i in range(max(1, len(found) - width + 1))]
-        shingles = sorted(set(shingles)) if once else shingles
-        for at in range(0, len(shingles), CHUNK):
-            yield np.array([xxhash.xxh64_intdigest(s, seed) for s in shingles[at : at + CHUNK]], dtype="<u8")
-        return
+    width = min(width, len(found))
     line = b" ".join(found)
     size = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
     end = np.cumsum(size + 1) - 1
     start, end = (end - size)[: len(found) - width + 1].tolist(), end[width - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    for at in range(0, len(start), CHUNK):
-        yield np.array([digest(line[a:b], seed) for a, b in zip(start[at : at + CHUNK], end[at : at + CHUNK], strict=True)], dtype="<u8")
+    parts = (
+        np.array([digest(line[a:b], seed) for a, b in zip(start[at : at + CHUNK], end[at : at + CHUNK], strict=True)], dtype="<u8")
+        for at in range(0, len(start), CHUNK)
+    )
+    if not once:
+        yield from parts
+        return
+    distinct = np.unique(np.concatenate(list(parts)))
+    for at in range(0, len(distinct), CHUNK):
+        yield distinct[at : at + CHUNK]
 
 
 def fingerprint(text: bytes | None, width: int = 4, seed: int = 42, once: bool = False, words: int = 1) -> list[int]:
@@ -166,42 +170,112 @@ def simhash_components(
     return prints.join(materialize(named, "simhash-classes"), "fp").select("doc_id", "fp", "component_id")
 
 
-#: Words of the sketch that verifies similarity, and the bits in which two
-#: texts may differ: a Jaccard similarity of 0.8 differs in 39 of 256 bits on
-#: average, with a standard deviation of 6.
-SKETCH, SKETCH_RADIUS = 4, 50
+#: Words of the sketch that foretells similarity, and the bits in which two
+#: texts may differ: a Jaccard similarity of 0.8 differs in 51 of 512 bits on
+#: average, with a standard deviation of 7, one of 0.7 in 77.
+SKETCH, SKETCH_RADIUS = 8, 68
+SHINGLE, SIMILARITY = 5, 0.8
+
+
+def minhash_bits(distinct: np.ndarray) -> list[int]:
+    """One-bit minhashes of a set of hashes, as SKETCH signed 64-bit numbers; zeros for an empty set.
+
+    One permutation is dealt over all bins; a bin without a value takes that
+    of a bin that a fixed sequence of draws finds first.
+    """
+    n = SKETCH * BITS
+    if not len(distinct):
+        return [0] * SKETCH
+    bins = np.arange(n, dtype=np.uint64)
+    least = np.full(n, np.iinfo(np.uint64).max, dtype=np.uint64)
+    np.minimum.at(least, (distinct % np.uint64(n)).astype(np.int64), distinct // np.uint64(n))
+    filled = least != np.iinfo(np.uint64).max
+    value, open_ = least.copy(), np.flatnonzero(~filled)
+    for k in range(1, 200):
+        if not len(open_):
+            break
+        drawn = (mix(bins[open_] * np.uint64(BASES[0]) + np.uint64(k)) % np.uint64(n)).astype(np.int64)
+        hit = filled[drawn]
+        value[open_[hit]] = least[drawn[hit]]
+        open_ = open_[~hit]
+    value[open_] = least[filled][0]
+    return np.packbits((mix(value ^ mix(bins + np.uint64(1))) & np.uint64(1)).astype(np.uint8), bitorder="little").view("<i8").tolist()
+
+
+def near_prints(docs: DataFrame, seed: int) -> DataFrame:
+    """doc_id, fp (SimHash of distinct words) and the sketch of the shingles; docs: doc_id and text (binary)."""
+    names = ["fp", *[f"s{i}" for i in range(SKETCH)]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.uint64)
+        for b in batches:
+            rows = []
+            for t in b.column(1).to_pylist():
+                shingles = np.concatenate([none, *shingle_hashes(t or b"", SHINGLE, seed, True)])
+                rows.append([*fingerprint(t, 1, seed, True), *minhash_bits(shingles)])
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([r[i] for r in rows], pa.int64()) for i in range(len(names))]], ["doc_id", *names])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, " + ", ".join(f"{n} bigint" for n in names))
+
+
+def similar(docs: DataFrame, pairs: DataFrame, seed: int = 42) -> DataFrame:
+    """Those pairs (u, v) of ids whose texts have a Jaccard similarity of SIMILARITY or more, by their distinct shingles.
+
+    docs: doc_id and text (binary).  Only texts of ids in pairs are hashed.
+    """
+    pairs = materialize(pairs, "maybe-similar")
+    ends = pairs.select(F.col("u").alias("doc_id")).distinct().unionByName(pairs.select(F.col("v").alias("doc_id")).distinct())
+    ids = ends.distinct().hint("shuffle_hash")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [b"".join(h.tobytes() for h in shingle_hashes(t or b"", SHINGLE, seed, True)) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["doc_id", "set"])
+
+    sets = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text").mapInArrow(run, "doc_id bigint, set binary")
+    sets = materialize(sets, "shingle-sets")
+
+    @F.pandas_udf("double")
+    def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(a, b, strict=True):
+            x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")  # noqa: PLW2901
+            n = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(n / (len(x) + len(y) - n) if len(x) + len(y) else 1.0)
+        return pd.Series(out)
+
+    side = lambda n: sets.select(F.col("doc_id").alias(n), F.col("set").alias(f"{n}_set"))
+    return pairs.join(side("u"), "u").join(side("v"), "v").where(jaccard("u_set", "v_set") >= SIMILARITY).select("u", "v")
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", radius: int = 7, seed: int = 42) -> DataFrame:
     """Near-duplicate class of every row of docs: doc_id and component_id, the smallest doc_id of the class.
 
-    Texts are alike from a Jaccard similarity of about 0.8 of their five-word
-    shingles.  SimHashes of five-word shingles are too far apart there for
-    small Hamming balls, those of distinct words are not: the index holds
-    these, within `radius` bits, and a 256-bit SimHash of the five-word
-    shingles verifies each match.  Texts with equal words collapse onto the
-    first of them if the sketch agrees, before the search.  Null and empty
-    texts are alike; an id that repeats is one document.
+    Texts are linked from a Jaccard similarity of 0.8 of their five-word
+    shingles.  SimHashes of such shingles are too far apart there for small
+    Hamming balls, those of distinct words are not: the index holds these,
+    within `radius` bits.  512 one-bit minhashes of the shingles, carried
+    along, discard what cannot be similar, and the shingles themselves verify the
+    rest.  Texts with equal fingerprints and sketches are one node; stars
+    connect dense groups before the search asks for links between groups.
+    Null and empty texts are alike; an id that repeats is one document, known
+    by any of its texts; null ids are never linked.
     """
-    kinds = {"fp": {"width": 1, "once": True}, "s": {"width": 5, "words": SKETCH}}
-    prints = materialize(with_fingerprints(docs, doc_id, text, kinds, seed), "near-prints")
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("binary").alias("text"))
+    prints = materialize(near_prints(rows, seed), "near-prints")
     sketch = [f"s{i}" for i in range(SKETCH)]
-    apart = lambda a, b: sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in sketch), F.lit(0))
-    firsts = prints.groupBy("fp").agg(F.min(F.struct("doc_id", *sketch)).alias("f")).select("fp", "f.*")
-    firsts = materialize(firsts.withColumnRenamed("doc_id", "node"), "near-firsts")
-    same = prints.alias("a").join(firsts.alias("b"), "fp").select(
-        "a.doc_id", "fp", *[f"a.{c}" for c in sketch], F.when(apart("a", "b") <= SKETCH_RADIUS, F.col("b.node")).alias("node")
-    )
-    same = materialize(same, "near-same")
-    odd = same.where("node is null").groupBy("fp", *sketch).agg(F.min("doc_id").alias("node"))
-    nodes = materialize(firsts.unionByName(odd.select(firsts.columns)), "near-nodes")
-    like = lambda a, b: apart(a, b) <= SKETCH_RADIUS
-    stars = materialize(star_links(nodes, radius, like), "near-stars")
-    pairs = links(materialize(grouped(nodes, stars), "near-groups"), radius, like)
+    nodes = prints.where("doc_id is not null").groupBy("fp", *sketch).agg(F.min("doc_id").alias("node"))
+    nodes = materialize(nodes, "near-nodes")
+
+    def like(a: str, b: str) -> Column:
+        return sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in sketch), F.lit(0)) <= SKETCH_RADIUS
+
+    once = materialize(nodes.groupBy("node").agg(F.min(F.struct("fp", *sketch)).alias("p")).select("node", "p.*"), "near-once")
+    stars = materialize(similar(rows, star_links(once, radius, like), seed), "near-stars")
+    pairs = similar(rows, links(materialize(grouped(once, stars), "near-groups"), radius, like), seed)
     roots = components(stars.unionByName(pairs))
-    named = odd.withColumnRenamed("node", "odd")
-    of = same.join(named, ["fp", *sketch], "left").select("doc_id", F.coalesce("node", "odd").alias("node"))
-    return of.join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("component_id"))
+    classes = nodes.join(roots, "node", "left").select("fp", *sketch, F.coalesce("root", "node").alias("component_id"))
+    return prints.join(materialize(classes, "near-classes"), ["fp", *sketch], "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def as_hex(fp: Column) -> Column:
