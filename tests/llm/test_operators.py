@@ -457,3 +457,36 @@ def test_long_chains_are_one_class(spark):
 def test_simhash_edges(edge, none):
     assert simhash.simhash_components(edge).count() == len(EDGE) and simhash.simhash_components(none).count() == 0
     assert simhash.near_duplicates(edge).count() == len(EDGE) and simhash.near_duplicates(none).count() == 0
+
+
+def near_copies(rows, seed=9):
+    """Copies of texts with appended words, cut tails and substituted words: (kind, id, text, copy, similarity)."""
+    rng, out = np.random.default_rng(seed), []
+    sets = lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    for d, text in rows:
+        w = text.split()
+        for kind in ("append", "cut", "replace"):
+            share, copy = rng.uniform(0.1, 0.25) if kind == "append" else rng.uniform(0.1, 0.2), list(w)
+            if kind == "append":
+                copy += [f"new{d}x{i}" for i in range(round(share * len(w)))]
+            elif kind == "cut":
+                copy = copy[: len(w) - round(share * len(w))]
+            else:
+                for i in rng.choice(len(w), max(1, round(share * len(w) / 8)), replace=False):
+                    copy[i] = f"new{d}x{i}"
+            a, b = sets([x.lower() for x in w]), sets([x.lower() for x in copy])
+            out.append((kind, d, text, " ".join(copy), len(a & b) / len(a | b)))
+    return out
+
+
+def test_near_copies_are_found_in_every_band_of_similarity(spark):
+    docs = read(spark, "/root/testdata/sf0.01", "documents").where("size(split(text, ' ')) >= 60").orderBy("doc_id").limit(400)
+    made = near_copies([(r.doc_id, r.text) for r in docs.collect()])
+    rows = [(2 * i + k, t) for i, (_, _, *texts, _) in enumerate(made) for k, t in enumerate(texts)]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    found = collections.defaultdict(list)
+    for i, (kind, *_, s) in enumerate(made):
+        if 0.8 <= s < 0.9:
+            found[kind, "0.80" if s < 0.85 else "0.85"].append(got[2 * i] == got[2 * i + 1])
+    recall = {k: (round(sum(v) / len(v), 3), len(v)) for k, v in found.items()}
+    assert len(recall) == 6 and all(r >= 0.95 and n >= 50 for r, n in recall.values()), recall
