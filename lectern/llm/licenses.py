@@ -84,28 +84,25 @@ class Recogniser:
     """Maps sentences to identifiers and sequences of them to licenses."""
 
     def __init__(self, sentences: dict[str, tuple[str, ...]] = SENTENCES, licenses=LICENSES):
-        self.known, self.words = {}, {}
-        for name, texts in sentences.items():
-            for text in texts:
-                parts = [p for p in map(normalize, _END.split(text)) if p]
-                self.known[" ".join(parts)] = name
-                self.words[tuple(parts)] = name
-        self.longest = max(map(len, self.words))
-        self.first = {p[0] for p in self.words}
+        self.known = {normalize(text): name for name, texts in sentences.items() for text in texts}
+        self.starts = {" ".join(w[:k]) for w in map(str.split, self.known) for k in range(1, len(w) + 1)}
         self.rules = [(lic, rule) for lic, rules in licenses for rule in rules]
 
     def sentences(self, text: str | None) -> list[str]:
-        """Identifiers of the known sentences, in order; wrapped ones span several lines."""
+        """Identifiers of the known sentences, in order; a wrapped one spans several lines, the longest one wins."""
         parts = [p for p in (normalize(s) for s in _END.split(text or "")) if p]
         out, i = [], 0
         while i < len(parts):
-            step = 1
-            if parts[i] in self.first:
-                for k in range(min(self.longest, len(parts) - i), 0, -1):
-                    if name := self.words.get(tuple(parts[i : i + k])):
-                        out.append(name)
-                        step = k
-                        break
+            step, name, run = 1, None, parts[i]
+            for k in range(i + 1, len(parts) + 1):
+                if run not in self.starts:
+                    break
+                if run in self.known:
+                    step, name = k - i, self.known[run]
+                if k < len(parts):
+                    run += " " + parts[k]
+            if name:
+                out.append(name)
             i += step
         return out
 
@@ -134,8 +131,10 @@ def license_scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
     """Sentence identifiers and licenses of every row's whole text: doc_id, sentences, licenses.
 
     Sentences end at line ends and after `.`, `!`, `?` or `:` before a blank; a
-    known sentence may run over several of these parts.  Both arrays are in
-    text order, licenses with each one once.  Null and empty texts have none.
+    known sentence may run over several of these parts, wherever its lines are
+    wrapped and with signs of comments before them, as only letters and digits
+    count.  Both arrays are in text order, licenses with each one once.  Null
+    and empty texts have none.
     """
 
     @F.pandas_udf("struct<sentences:array<string>,licenses:array<string>>")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -361,6 +362,21 @@ def test_license_rules():
     assert name("a mention of the MIT License in a sentence") == [] and name(None) == []
 
 
+@pytest.mark.parametrize("prefix", ["", "# ", " * ", "// ", "    "])
+@pytest.mark.parametrize("width", [30, 60, 80])
+def test_wrapped_licenses_are_found(width, prefix):
+    r, one = licenses.Recogniser(), {k: v[-1] for k, v in licenses.SENTENCES.items()}
+    wrapped = lambda *names: "\n".join(prefix + x for k in names for x in textwrap.wrap(one[k] + "." * (one[k][-1] != ":"), width, break_long_words=False))
+    name = lambda t: [x for x, _ in r.licenses(r.sentences(t))]
+    assert name(wrapped("MitGrant", "MitNotice", "AsIs")) == ["MIT"]
+    assert name(f"{prefix}Copyright 2020 A. Person\n{prefix}\n" + wrapped("MitGrant") + f"\n{prefix}\n" + wrapped("MitNotice") + "\nmore") == ["MIT"]
+    assert name(wrapped("GplFree")) == ["GPL-3.0-or-later"] and r.sentences(wrapped("GplFree", "GplHope")) == ["GplFree", "GplHope"]
+    assert name(wrapped("BsdGrant", "BsdSource", "BsdBinary", "BsdName")) == ["BSD-3-Clause"]
+    assert all(r.sentences(wrapped(k)) == [k] for k in one)
+    grant = wrapped("MitGrant").split("\n")
+    assert name("\n".join([*grant[:-1], prefix + "other words", grant[-1]])) == [] and name("\n".join(grant[:-1])) == []
+
+
 def test_license_scan_against_lines(spark, docs, edge, none):
     plain = {"Released under the MIT License.": "MIT", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
              "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0"}
