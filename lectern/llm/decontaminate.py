@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 #: Characters of benchmark items that one block holds; larger sets run block by block.
 BLOCK_CHARS = 8_000_000
-#: Share of an item's characters that may differ, and the shortest item that is searched.
+#: Share of an item's characters that may differ, and the shortest item that may lie inside words; shorter ones match whole words only.
 EDIT_RATE, LEAST_CHARS = 0.05, 20
 LEAKS = "array<struct<item_id:bigint,distance:int,end:int>>"
 _WORD = re.compile(r"\w+")
@@ -59,11 +59,17 @@ def myers(pattern: str, text: str) -> tuple[int, int]:
     return best
 
 
+def _whole(text: str, start: int, end: int) -> bool:
+    """Whether a part of a normalised text begins and ends with words."""
+    return (start == 0 or text[start - 1] == " ") and (end == len(text) or text[end] == " ")
+
+
 class Matcher:
     """Finds items of one block in normalised texts."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float = EDIT_RATE, least: int = LEAST_CHARS):
-        self.items = [(i, t, int(len(t) * rate)) for i, text in items if len(t := normalize(text)) >= least]
+        self.items = [(i, t, int(len(t) * rate) if len(t) >= least else 0) for i, text in items if (t := normalize(text))]
+        self.least = least
         owners: dict[str, list[tuple[int, int]]] = {}
         for k, (_, t, errors) in enumerate(self.items):
             for offset, piece in pieces(t, errors):
@@ -86,6 +92,11 @@ class Matcher:
         found = []
         for k, starts in spots.items():
             item, words, errors = self.items[k]
+            if len(words) < self.least:
+                end = next((s + len(words) for s in starts if _whole(t, s, s + len(words))), None)
+                if end is not None:
+                    found.append((item, 0, end))
+                continue
             exact = t.find(words)
             best = (0, exact + len(words)) if exact >= 0 else self._search(k, t, starts)
             if best[0] <= errors:
@@ -135,9 +146,10 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, *, item_id: str = "item_id
     length in edit distance to some part of the normalised text.  Each item is
     cut into its error budget plus one pieces; an automaton finds exact hits of
     pieces, and Myers' distance verifies the windows about them, so no
-    occurrence is missed.  Items below LEAST_CHARS characters, null texts and
-    null items match nothing; equal items all match.  Every other column stays
-    as it is, so nothing shuffles.
+    occurrence is missed.  Items below LEAST_CHARS characters match whole
+    words without edits.  Items without words, null texts and null items match
+    nothing; equal items all match.  Every other column stays as it is, so
+    nothing shuffles.
     """
     df = docs
     parts = []

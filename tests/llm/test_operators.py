@@ -171,6 +171,15 @@ def test_leaks_with_edits_are_found_as_brute_force_finds_them(spark):
     assert got == want and len({k for *_, k in want}) > 2
 
 
+def test_short_items_match_whole_words(spark):
+    items = spark.createDataFrame([(1, "Cold fusion?"), (2, "art"), (3, " ?! "), (4, "art"), (5, "nineteen chars here")], "item_id int, text string")
+    texts = ["is cold, FUSION real", "cold fusions", "scold fusion", "party of Art", "smart carts", "art", "in nineteen chars here.", "nineteen chars hera", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {tuple(r) for r in decontaminate.find_leaks(docs, items).collect()}
+    assert got == {(0, 1, 0, 14), (3, 2, 0, 12), (3, 4, 0, 12), (5, 2, 0, 3), (5, 4, 0, 3), (6, 5, 0, 22)}
+    assert sorted(r.doc_id for r in decontaminate.decontaminate(docs, items).collect()) == [1, 2, 4, 7, 8, 9]
+
+
 def test_decontaminate_edges(spark, edge, none):
     bench = spark.createDataFrame([(1, "lost and found in no place at all"), (None, "one two three"), (2, None)], "item_id int, text string")
     kept = decontaminate.decontaminate(edge, bench)
