@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,14 +20,21 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANKS), "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """What `body` makes of a value that is computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares (spark.checkpoint.dir).
 
-    Only where the setting is missing, as in tests on one machine, a
-    temporary folder stands in for it.
+    Only where the setting is missing and the master is this machine, as in
+    tests, a temporary folder stands in for it.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -44,16 +52,21 @@ def freeing(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df as written to the shared folder and read again, and its path."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    with freeing(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Cut the lineage: write df to the shared folder and read it again.
 
     A lost executor then costs one reread, never a recomputation.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    with freeing(spark):
-        df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, name)[0]
 
 
 def discard(spark: SparkSession, path: str) -> None:
@@ -75,3 +88,12 @@ def join_small(left: DataFrame, right: DataFrame, on: Column, how: str, most: in
     if right.limit(most + 1).count() <= most:
         right = F.broadcast(right)
     return left.join(right, on, how)
+
+
+def ln_gamma(x: Column) -> Column:
+    """Logarithm of the gamma function of x > 0, by Stirling's series eight places further up."""
+    z = x + 8
+    steps = F.lit(0.0)
+    for k in range(8):
+        steps = steps + F.log(x + k)
+    return (z - 0.5) * F.log(z) - z + 0.9189385332046727 + 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * z * z * z * z * z) - steps

@@ -60,22 +60,23 @@ _FIT = " ".join(
     for rule, h, p in sorted(((r, *r.split("/", 1)) for _, r in urls.RULES), key=lambda x: -len(x[0]))
 )
 _SAYS = " ".join(f"when '{r}' then '{v}'" for v, r in urls.RULES)
-_SECOND = ", ".join(f"'{x}'" for x in urls.SECOND_LEVEL)
+_SECOND = ", ".join(f"'{s}.{c}'" for c, labels in urls.SECOND_LEVEL.items() for s in labels.split())
 
 
 def _strength(children: str) -> str:
     rho = f"(select coalesce(sum(n * pow(k / n - mu, 2) - mu * (1 - mu)) / nullif(sum(mu * (1 - mu) * (n - 1)), 0), 0.0) from {children} where n > 0)"
-    return f"(select round(1 / least(greatest({rho}, 1e-3), 0.5) - 1, 6) as m)"
+    return f"(select round(1 / least(greatest({rho}, 1.0 / {urls.MOST_PRIOR + 1}), 0.5) - 1, 6) as m)"
 
 
 _OP1 = f"""
 with r as (select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
 p as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{urls.UPPER}', '{urls.LOWER}') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from r),
 l as (select doc_id as page_id, max((quality = 0 or toxic = 1)::int) as bad from labels group by doc_id having max((quality = 0 or toxic = 1)::int) is not null),
-h0 as (select host, count(bad)::double as n, coalesce(sum(bad), 0)::double as k, string_split(host, '.') as parts from p left join l using (page_id) group by host),
-h1 as (select *, case when regexp_matches(host, '^[0-9.]+(:[0-9]+)?$') then host
-  else array_to_string(parts[greatest(len(parts) - case when len(parts) > 2 and length(parts[-1]) = 2 and parts[-2] in ({_SECOND}) then 3 else 2 end + 1, 1):], '.') end as domain from h0),
-h as (select *, case when contains(domain, '.') then substr(domain, strpos(domain, '.') + 1) else domain end as sfx from h1),
+h0 as (select host, count(bad)::double as n, coalesce(sum(bad), 0)::double as k, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') as bare from p left join l using (page_id) group by host),
+h1 as (select host, n, k, bare, string_split(bare, '.') as parts from h0),
+h as (select *, case when contains(domain, '.') then substr(domain, strpos(domain, '.') + 1) else domain end as sfx from (
+  select *, case when regexp_matches(bare, '^[0-9.]+$') then bare
+    else array_to_string(parts[greatest(len(parts) - case when len(parts) > 2 and parts[-2] || '.' || parts[-1] in ({_SECOND}) then 3 else 2 end + 1, 1):], '.') end as domain from h1)),
 d as (select domain, sfx, sum(n) as n, sum(k) as k from h group by all),
 s0 as (select sfx, sum(n) as n, sum(k) as k from d group by sfx),
 s1 as (select *, (select (coalesce(sum(k), 0) + {urls.PRIOR}) / (coalesce(sum(n), 0) + 1) from s0) as mu from s0),
@@ -83,10 +84,16 @@ s as (select sfx, (k + m * mu) / (n + m) as mu from s1, {_strength("s1")}),
 d1 as (select d.*, s.mu from d join s using (sfx)),
 d2 as (select domain, (k + m * mu) / (n + m) as mu from d1, {_strength("d1")}),
 h2 as (select h.host, h.n, h.k, d2.mu from h join d2 using (domain)),
-t as (select host, n, m, (k + m * mu) / (n + m) as theta from h2, {_strength("h2")}),
-b as (select host from t where theta - {urls.Z} * sqrt(theta * (1 - theta) / (n + m + 1)) > {urls.LIMIT}),
+t0 as (select host, n, (k + m * mu) / (n + m) as mean, k + m * mu as a, n - k + m * (1 - mu) as b from h2, {_strength("h2")}),
+t1 as (select *, ln(a / b) as mode, sqrt(1 / a + 1 / (a * a) + 1 / b + 1 / (b * b)) * {2.0 * urls.WIDE / urls.GRID} as step from t0),
+grid as (select *, mode + (i - {urls.GRID // 2}) * step as t from t1, (select unnest(generate_series(0, {urls.GRID})) as i)),
+dens as (select host, i, mode, step, exp(a * t - (a + b) * (greatest(t, 0) + ln(1 + exp(-abs(t)))) - a * mode + (a + b) * (greatest(mode, 0) + ln(1 + exp(-abs(mode))))) as w from grid),
+cums as (select *, sum(w) over (partition by host order by i) as cum, sum(w) over (partition by host) * {1 - urls.LEVEL} as goal from dens),
+quant as (select host, 1 / (1 + exp(-(mode + (i + 0.5 - (cum - goal) / w - {urls.GRID // 2}) * step))) as bound from cums where cum >= goal and cum - w < goal),
+rep as (select host, n::bigint as n_labelled, round(mean, 6) as mean, round(bound, 6) as bound from t0 join quant using (host)),
 j as (select page_id, host, path, case {_FIT} end as rule from p)
-select page_id, host, path, rule, case rule {_SAYS} else case when host in (select host from b) then 'block' else 'allow' end end as verdict from j
+select page_id, host, path, rule, case rule {_SAYS} else case when bound > {urls.LIFT} * (select any_value(mu) from s1) then 'block' else 'allow' end end as verdict, n_labelled, mean, bound
+from j join rep using (host)
 """
 
 _OP4 = """
@@ -108,22 +115,26 @@ def _spans(name: str, pattern: str) -> str:
 {name}_s as (select doc_id, found, sum(length(before) + length(found)) over (partition by doc_id order by k) as stop from {name}_m)"""
 
 
+_ASSIGN = secrets.ASSIGN.replace("'", "''")
 _OP9 = f"""
 with d as (select doc_id, source, coalesce(text, '') as t from documents),
 {_spans("assign", secrets.ASSIGN)},{_spans("access", secrets.ACCESS)},{_spans("hex", secrets.HEX)},{_spans("token", secrets.TOKEN)},
 base as (
-  select doc_id, 0 as rank, 'assign' as kind, stop - length(found) as start, stop from assign_s where length(regexp_extract(found, '{secrets.ASSIGN.replace("'", "''")}', 2)) >= 12
-  union all select doc_id, 1, 'access', stop - length(found), stop from access_s union all select doc_id, 2, 'hex', stop - length(found), stop from hex_s),
+  select doc_id, 0 as rank, 'assign' as kind, stop - length(found) as start, stop, regexp_extract(found, '{_ASSIGN}', 2) as value from assign_s where length(regexp_extract(found, '{_ASSIGN}', 2)) >= 12
+  union all select doc_id, 1, 'access', stop - length(found), stop, found from access_s union all select doc_id, 2, 'hex', stop - length(found), stop, found from hex_s),
 cand as (
-  select doc_id, source, found, stop - length(found) as start, stop from token_s join d using (doc_id)
-  where regexp_matches(found, '[A-Z]') and regexp_matches(found, '[a-z]') and regexp_matches(found, '[0-9].*[0-9].*[0-9]') and len(list_distinct(string_split(found, ''))) >= 10
+  select doc_id, found as value, stop - length(found) as start, stop from token_s
+  where regexp_matches(found, '[A-Za-z]') and regexp_matches(found, '[0-9].*[0-9].*[0-9]') and len(list_distinct(string_split(found, ''))) >= 10
     and not regexp_matches(found, '(?i)example|sample|dummy|placeholder|xxxx')),
 free as (select * from cand c where not exists (select 1 from base b where b.doc_id = c.doc_id and b.start < c.stop and c.start < b.stop)),
-owned as (select found from free group by found having count(distinct coalesce('s' || source, '')) <= 1),
-spans as (select * from base union all select doc_id, 3, 'owned', start, stop from free where found in (select found from owned)),
-g as (select doc_id, string_agg(kind || ':' || start || ':' || stop, ',' order by start, rank) as spans, string_agg(kind || ':' || start || ':' || stop, ',' order by start, rank) filter (rank < 3) as base,
-  count(*) filter (rank = 0) as n_assign, count(*) filter (rank = 1) as n_access, count(*) filter (rank = 2) as n_hex from spans group by doc_id)
-select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+every as (select * from base union all select doc_id, 3, 'owned', start, stop, value from free),
+held as (select value, count(distinct md5(t)) as repos, count(distinct coalesce('s' || source, '')) as owners from every join d using (doc_id) group by value),
+judged as (select every.*, least(owners, repos) <= {secrets.MOST_OWNERS} and repos <= {secrets.MOST_REPOS} as live from every join held using (value)),
+g as (select doc_id, string_agg(kind || ':' || start || ':' || stop, ',' order by start, rank) filter (live or rank < 3) as spans,
+  string_agg(kind || ':' || start || ':' || stop, ',' order by start, rank) filter (rank < 3) as base, count(*) filter (live) as n_live, count(*) filter (not live) as n_copied,
+  count(*) filter (rank = 0) as n_assign, count(*) filter (rank = 1) as n_access, count(*) filter (rank = 2) as n_hex from judged group by doc_id)
+select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, coalesce(n_live, 0) as n_live, coalesce(n_copied, 0) as n_copied,
+  sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
 from d left join g using (doc_id)
 """
 

@@ -19,9 +19,11 @@ ASSIGN = rf"""({KEYWORDS})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: least length in the pattern finds the same spans; this doesn't hold for ASSIGN.
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
-#: Tokens that may be credentials without saying so: a long run that mixes cases and digits.
+#: Tokens that may be credentials without saying so: a long run of letters and digits.
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "owned")
+#: A value is its owner's own if one owner, or one repository, holds it, and at most MOST_REPOS repositories do.
+MOST_OWNERS, MOST_REPOS = 1, 10
 
 
 def find_spans(text: Column, pattern: str) -> Column:
@@ -41,9 +43,11 @@ def find_spans(text: Column, pattern: str) -> Column:
     return F.when(text.rlike(pattern), spans).otherwise(none)
 
 
-def _ranked(spans: Column, kind: str) -> Column:
+def _valued(spans: Column, kind: str, value: Column | None = None) -> Column:
+    """Spans as (start, rank, end, hash of the value); `value` is a function of the text found."""
+    of = value or (lambda x: x)
     rank = F.lit(KINDS.index(kind))
-    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), rank.alias("rank"), s["end"].alias("end")))
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), rank.alias("rank"), s["end"].alias("end"), F.md5(of(s["found"])).alias("hash")))
 
 
 def _joined(spans: Column) -> Column:
@@ -52,20 +56,20 @@ def _joined(spans: Column) -> Column:
 
 
 def live_looking(token: Column) -> Column:
-    """Upper and lower case, at least three digits, ten different characters, and no word that marks an example."""
+    """Letters, at least three digits, ten different characters, and no word that marks an example."""
     return (
-        token.rlike("[A-Z]") & token.rlike("[a-z]") & token.rlike("[0-9].*[0-9].*[0-9]")
-        & (F.size(F.array_distinct(F.split(token, ""))) >= 10) & ~token.rlike("(?i)example|sample|dummy|placeholder|xxxx")
+        token.rlike("[A-Za-z]") & token.rlike("[0-9].*[0-9].*[0-9]") & (F.size(F.array_distinct(F.split(token, ""))) >= 10)
+        & ~token.rlike("(?i)example|sample|dummy|placeholder|xxxx")
     )
 
 
 def candidates(text: Column, base: Column) -> Column:
-    """Tokens that look live and lie outside the base spans: array of (hash, start, end)."""
+    """Tokens that look live and lie outside the base spans, as spans of the kind `owned`."""
     free = F.filter(
         find_spans(text, TOKEN),
         lambda c: live_looking(c["found"]) & ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])),
     )
-    return F.transform(free, lambda c: F.struct(F.md5(c["found"]).alias("hash"), c["start"].alias("start"), c["end"].alias("end")))
+    return _valued(free, "owned")
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -73,70 +77,94 @@ def ownership(found: DataFrame) -> DataFrame:
 
     found: hash, repo, owner.  Each step pre-aggregates, so a value that a
     third of all rows holds is a few rows a task when it shuffles.  A null
-    owner is an owner of its own.
+    owner is an owner of its own.  A repository that several owners hold (a
+    copied document) counts once.
     """
-    return (
-        found.select("hash", "owner", "repo").distinct()
-        .groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repos"))
-        .groupBy("hash").agg(F.sum("repos").alias("repos"), F.count(F.lit(1)).alias("owners"))
-    )
+    pairs = found.select("hash", "owner", "repo").distinct()
+    repos = pairs.select("hash", "repo").distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("repos"), F.lit(0).alias("owners"))
+    owners = pairs.select("hash", "owner").distinct().groupBy("hash").agg(F.lit(0).alias("repos"), F.count(F.lit(1)).alias("owners"))
+    return repos.unionByName(owners).groupBy("hash").agg(F.max("repos").alias("repos"), F.max("owners").alias("owners"))
+
+
+def own(most_owners: int = MOST_OWNERS, most_repos: int = MOST_REPOS) -> Column:
+    """Whether a value is its owner's own, by the columns of `ownership`; else it is a copied example."""
+    return (F.least("owners", "repos") <= most_owners) & (F.col("repos") <= most_repos)
 
 
 def secret_scan(
-    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", owner: str = "source", max_owners: int = 1
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", owner: str = "source", most_owners: int = MOST_OWNERS, most_repos: int = MOST_REPOS
 ) -> DataFrame:
     """Spans of secrets in every row of docs.
 
     Returns doc_id, text_key (xxhash64 of the text), n_assign, n_access, n_hex,
-    n_owned and spans, an array of (start, rank, end) in order, where rank is the place in KINDS and offsets
-    are code points, end exclusive.  The three base kinds are always kept.  A
-    candidate token outside them is kept as `owned` if at most `max_owners`
-    owners (source) hold its value in any of their repositories (documents);
-    a value that more owners hold is a copied example.  Null texts are empty;
-    rows that repeat are answered row by row.
+    n_live, n_copied and spans, an array of (start, rank, end) in order, where
+    rank is the place in KINDS and offsets are code points, end exclusive.  The
+    values of all spans are counted over the corpus by distinct repositories
+    (documents, equal texts once) and owners (sources): one that `own` accepts
+    is live, any other a copied example.  The three base kinds stay in spans
+    either way; a candidate token outside them becomes a span `owned` only if
+    live.  n_live and n_copied count the base spans and candidates of either
+    sort.  Null and empty texts have no span, texts of any length are read
+    whole; rows that repeat are answered row by row and count as one
+    repository.  Without rows the result is empty.  Further columns are not
+    read.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(owner).alias("owner"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     rows = rows.withColumns(
         {
-            "assign": _ranked(F.filter(find_spans(F.col("t"), ASSIGN), lambda s: F.length(F.regexp_extract(s["found"], ASSIGN, 2)) >= 12), "assign"),
-            "access": _ranked(find_spans(F.col("t"), ACCESS), "access"),
-            "hex": _ranked(find_spans(F.col("t"), HEX), "hex"),
+            "assign": _valued(F.filter(find_spans(F.col("t"), ASSIGN), lambda s: F.length(F.regexp_extract(s["found"], ASSIGN, 2)) >= 12), "assign",
+                              lambda x: F.regexp_extract(x, ASSIGN, 2)),
+            "access": _valued(find_spans(F.col("t"), ACCESS), "access"),
+            "hex": _valued(find_spans(F.col("t"), HEX), "hex"),
         }
-    ).withColumn("base", F.array_sort(F.concat("assign", "access", "hex")))
+    ).withColumn("base", F.concat("assign", "access", "hex"))
     rows = rows.select(
-        F.monotonically_increasing_id().alias("rid"), "doc_id", F.xxhash64("t").alias("text_key"), "owner", "base", candidates(F.col("t"), F.col("base")).alias("found")
+        F.monotonically_increasing_id().alias("rid"), "doc_id", F.xxhash64("t").alias("text_key"), "owner", "base", candidates(F.col("t"), F.col("base")).alias("free")
     )
     rows = materialize(rows, "secrets")
-    found = rows.where(F.size("found") > 0).select("rid", "owner", F.col("doc_id").alias("repo"), F.explode("found").alias("c")).select("rid", "owner", "repo", "c.*")
-    owned = ownership(found).where(F.col("owners") <= max_owners)
-    more = (
-        found.join(owned, "hash", "left_semi").groupBy("rid")
-        .agg(F.collect_list(F.struct("start", F.lit(KINDS.index("owned")).alias("rank"), "end")).alias("more"))
+    both = F.concat("base", "free")
+    found = rows.where(F.size(both) > 0).select("rid", "owner", F.col("text_key").alias("repo"), F.explode(both).alias("c")).select("rid", "owner", "repo", "c.*")
+    verdict = ownership(found).select("hash", own(most_owners, most_repos).alias("live"))
+    judged = (
+        found.join(verdict, "hash").groupBy("rid")
+        .agg(F.collect_list(F.struct("start", "rank", "end", "live")).alias("judged"))
     )
-    full = rows.drop("found", "owner").join(more, "rid", "left")
-    count = lambda k: F.size(F.filter("base", lambda s: s["rank"] == KINDS.index(k))).cast("bigint")
-    spans = F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", F.col("more"))))
+    full = rows.select("rid", "doc_id", "text_key").join(judged, "rid", "left").withColumn("judged", F.coalesce("judged", F.array()))
+    count = lambda k: F.size(F.filter("judged", lambda s: s["rank"] == KINDS.index(k))).cast("bigint")
+    shown = F.filter("judged", lambda s: s["live"] | (s["rank"] < len(KINDS) - 1))
+    spans = F.array_sort(F.transform(shown, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"))))
     return full.select(
-        "doc_id", "text_key", *[count(k).alias(f"n_{k}") for k in KINDS[:3]], F.coalesce(F.size("more"), F.lit(0)).alias("n_owned"), spans.alias("spans")
-    )
+        "doc_id", "text_key", *[count(k).alias(f"n_{k}") for k in KINDS[:3]],
+        F.size(F.filter("judged", lambda s: s["live"])).cast("bigint").alias("n_live"),
+        F.size(F.filter("judged", lambda s: ~s["live"])).cast("bigint").alias("n_copied"), spans.alias("spans"),
+    )
 
 
 def digest(found: DataFrame) -> DataFrame:
     """The spans as strings: base_sha256 and spans."""
     base = F.filter("spans", lambda s: s["rank"] < 3)
-    return found.withColumns({"base_sha256": F.sha2(_joined(base), 256), "spans": _joined(F.col("spans"))}).drop("n_owned", "text_key")
+    return found.withColumns({"base_sha256": F.sha2(_joined(base), 256), "spans": _joined(F.col("spans"))}).drop("text_key")
 
 
 def redact(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", owner: str = "source", mark: str = "[SECRET]") -> DataFrame:
     """The rows of docs with every span of secret_scan replaced by `mark`.
 
-    Overlapping spans become one mark.  Only spans shuffle as candidates; the
-    texts shuffle once to meet them, by id and text.
+    Overlapping spans become one mark.  Null texts stay null, empty and clean
+    ones as they are; equal rows are treated alike; without rows the result is
+    empty.  A text may be of any length, and further columns stay, whatever
+    their names.  Base spans are found again where the texts are; the spans
+    that a token of the corpus adds come from secret_scan, and texts shuffle
+    to meet them only if they hold a candidate token at all.
     """
-    found = secret_scan(docs, doc_id=doc_id, text=text, owner=owner).where(F.size("spans") > 0)
-    found = found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "spans").dropDuplicates(["_id", "_key"]).hint("shuffle_hash")
+    found = materialize(secret_scan(docs, doc_id=doc_id, text=text, owner=owner).where(F.size("spans") > 0), "found-secrets")
+    found = found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "spans").dropDuplicates(["_id", "_key"])
     rows = docs.select(F.struct("*").alias("_row"), F.col(doc_id).alias("_doc"), F.col(text).alias("_t"))
-    rows = rows.join(found, F.col("_doc").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("_t", F.lit(""))) == F.col("_key")), "left")
+    # Only texts in which a pattern occurs can have spans; the others need no partner.
+    maybe = F.coalesce(F.col("_t").rlike(f"{ASSIGN}|{ACCESS}|{HEX}|{TOKEN}"), F.lit(False))
+    rows = rows.withColumn("_maybe", F.explode(F.array(maybe)))
+    met = rows.where("_maybe").join(
+        found.hint("shuffle_hash"), F.col("_doc").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("_t", F.lit(""))) == F.col("_key")), "left"
+    )
     t = F.col("_t")
 
     def step(acc: Column, s: Column) -> Column:
@@ -149,4 +177,5 @@ def redact(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", owner
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
     clean = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"].cast("int") + 1, F.length(t))))
     clean = F.when(F.col("spans").isNull(), t).otherwise(clean)
-    return rows.select(F.col("_row").withField(text, clean).alias("_row")).select("_row.*")
+    done = met.select(F.col("_row").withField(text, clean).alias("_row")).select("_row.*")
+    return done.unionByName(rows.where("not _maybe").select("_row.*"))

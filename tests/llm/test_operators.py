@@ -56,7 +56,7 @@ def test_queries_have_their_columns(spark, sf):
         "op1": {"page_id", "host", "path", "rule", "verdict"}, "op2": {"doc_id", "held_out", "score", "predicted"},
         "op4": {"doc_id", "n_words", "n_removed", "kept_sha256"}, "op7": {"doc_id", "size", "source_size", "target", "taken"},
         "op6": {"doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"},
-        "op9": {"doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"}, "op10": {"doc_id", "fingerprint", "component_id"},
+        "op9": {"doc_id", "n_assign", "n_access", "n_hex", "n_live", "n_copied", "base_sha256", "spans"}, "op10": {"doc_id", "fingerprint", "component_id"},
     }
     for n, cols in want.items():
         name = next(q for q in Q.QUERIES if q.startswith(n + "_"))
@@ -96,6 +96,21 @@ def test_bad_hosts_are_blocked_and_shrunk(spark):
     assert {r.verdict for r in urls.url_filter(pages, labels.limit(0)).collect()} == {"allow"}
 
 
+def test_beta_quantiles(spark):
+    rng = np.random.default_rng(3)
+    for a, b in ((0.5, 0.5), (1.0, 1.0), (0.3, 2.6), (8.0, 30.0), (4000.0, 9000.0)):
+        drawn = np.quantile(rng.beta(a, b, 400_000), 0.1)
+        got = spark.range(1).select(urls.beta_quantile(F.lit(a), F.lit(b), 0.1).alias("q")).first().q
+        assert abs(got - drawn) < 0.02 * (a * b / ((a + b) ** 2 * (a + b + 1))) ** 0.5
+    ones = spark.range(1).select(urls.beta_quantile(F.lit(2.0), F.lit(1.0), 0.1).alias("q")).first().q
+    assert abs(ones - 0.1**0.5) < 1e-3
+
+
+def test_reputation_decides_pages_of_the_larger_tables(spark):
+    got = Q.op1_url_filter(spark, "/root/testdata/sf0.1")
+    assert got.where("rule is null and verdict = 'block' and n_labelled > 0").count() > 0
+
+
 # --- 2: toxicity
 def test_toxicity_finds_held_out_labels(spark):
     got = Q.op2_toxicity(spark, "/root/testdata/sf0.1").join(read(spark, "/root/testdata/sf0.1", "labels"), "doc_id")
@@ -190,8 +205,18 @@ def test_decontaminate_edges(spark, edge, none):
 def test_blocks_of_items_give_the_same_leaks(spark, docs, monkeypatch):
     bench = read(spark, "/root/testdata/sf0.001", "benchmark")
     whole = sorted(decontaminate.find_leaks(docs, bench).collect())
-    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 2000)
-    assert whole and sorted(decontaminate.find_leaks(docs, bench).collect()) == whole
+    assert whole and sorted(decontaminate.find_leaks(docs, bench, block=500).collect()) == whole
+    left = {r.doc_id for r in decontaminate.decontaminate(docs, bench, block=500).collect()}
+    assert left == {r.doc_id for r in docs.collect()} - {r.doc_id for r in whole}
+    monkeypatch.setattr(decontaminate, "REMEMBERED", 50)
+    assert {r[:3] for x in docs.collect() for r in [(x.doc_id, i, d) for i, d, _ in decontaminate.Matcher([(r.item_id, r.text) for r in bench.collect()]).leaks(x.text)]} == {tuple(r)[:3] for r in whole}
+
+
+def test_clashing_names_stay(spark):
+    df = spark.createDataFrame([(1, "a b", "x", "y", 1), (2, "one two three", "x", "y", 2)], "doc_id int, text string, leaks string, row string, n int")
+    bench = spark.createDataFrame([(1, "one two three")], "item_id int, text string")
+    for block in (10**6, 1):
+        assert [tuple(r) for r in decontaminate.decontaminate(df, bench, block=block).collect()] == [(1, "a b", "x", "y", 1)]
 
 
 # --- 4: substrings
@@ -272,12 +297,13 @@ def test_quality_features_against_brute_force(spark, docs, edge):
 
 
 def test_exact_binomial_bound(spark):
-    from math import comb
+    from fractions import Fraction
+    from math import comb, exp, lgamma, log
 
-    for n, a, level in ((50, 0.1, 0.05), (400, 0.0125, 0.01), (10, 0.01, 0.05), (0, 0.1, 0.5)):
+    for n, a, level in ((50, 0.1, 0.05), (400, 0.0125, 0.01), (10, 0.01, 0.05), (0, 0.1, 0.5), (40_000, 0.0125, 0.003)):
         cdf, k = 0.0, -1
         for j in range(n + 1):
-            cdf += comb(n, j) * a**j * (1 - a) ** (n - j)
+            cdf += float(comb(n, j) * Fraction(a) ** j * (1 - Fraction(a)) ** (n - j)) if n < 1000 else exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * log(a) + (n - j) * log(1 - a))
             if cdf > level:
                 break
             k = j
@@ -285,6 +311,23 @@ def test_exact_binomial_bound(spark):
         assert got == k
 
 
+def test_quality_equals_its_sql_where_cutoffs_act(spark):
+    import duckdb
+
+    from lectern.llm.oracles import ORACLES
+
+    sf = "/root/testdata/sf0.1"
+    c = duckdb.connect()
+    for t in ("documents", "labels"):
+        c.execute(f"create view {t} as from '{sf}/{t}.parquet'")
+    cur = c.execute(ORACLES["op6_quality_rules"])
+    names = [d[0] for d in cur.description]
+    want = sorted(cur.fetchall())
+    got = sorted(tuple(r) for r in Q.op6_quality_rules(spark, sf).select(*names).collect())
+    failed, kept = names.index("base_failed"), names.index("kept")
+    assert got == want and any(not r[failed] and not r[kept] for r in got)
+
+
 def test_cutoffs_reject_junk_and_keep_good(spark):
     rows = [(i, "plain words of a good text that goes on for a while " + str(i), "en", 1) for i in range(600)]
     rows += [(1000 + i, "#$% bad ## text && full $$ of ** symbols %% that << >> nobody || wants " + str(i), "en", 0) for i in range(60)]
@@ -420,11 +463,19 @@ def test_base_spans_against_regular_expressions(spark, docs):
 
 def test_owned_tokens_and_copied_examples(spark):
     mine, copied = "Zk3Qw9Lm2Xc7Vb5Nn1TtRr", "Aa1Bb2Cc3Dd4Ee5Ff6Gg7Hh"
-    rows = [(1, f"é key {mine} end", "a"), (2, f"again {mine}", "a"), (3, f"see {copied}", "a"), (4, f"see {copied}", "b"), (5, f"ex {copied[:-1]}EXAMPLE1", "a")]
-    rows += [(100 + i, f"hot {mine}", "a") for i in range(300)]
+    once, spread = "Bb1Cc2Dd3Ee4Ff5Gg6Hh7Jj", "Tt1Uu2Vv3Ww4Xx5Yy6Zz7Qq"
+    rows = [(1, f"é key {mine} end", "a"), (2, f"again {mine}", "a"), (3, f"see {copied}", "a"), (4, f"look at {copied}", "b"), (5, f"ex {copied[:-1]}EXAMPLE1", "a")]
+    rows += [(100 + i, f"hot {mine}", "a") for i in range(300)]  # one text, so one repository
+    rows += [(500, f"mirrored {once}", "a"), (501, f"mirrored {once}", "b")]  # two owners hold one repository
+    rows += [(600 + i, f"sample {i} {spread}", "a") for i in range(11)]  # one owner, too many repositories
+    rows += [(700, f'token = "{mine}"', "a"), (701, f'token = "{copied}"', "c")]
     found = secrets.secret_scan(spark.createDataFrame(rows, "doc_id int, text string, source string"))
-    got = {r.doc_id: r.spans for r in secrets.digest(found).collect()}
-    assert got[1] == "owned:6:28" and got[2] == "owned:6:28" and got[3] == got[4] == got[5] == "" and got[250] == "owned:4:26"
+    got = {r.doc_id: r for r in secrets.digest(found).collect()}
+    spans = {d: r.spans for d, r in got.items()}
+    assert spans[1] == "owned:6:28" and spans[2] == "owned:6:28" and spans[3] == spans[4] == spans[5] == "" and spans[250] == "owned:4:26"
+    assert spans[500] == spans[501] == "owned:9:32" and not any(spans[600 + i] for i in range(11))
+    assert (got[700].n_live, got[700].n_copied, got[700].spans) == (1, 0, "assign:0:31") and (got[701].n_live, got[701].n_copied) == (0, 1)
+    assert (got[3].n_live, got[3].n_copied, got[1].n_live) == (0, 1, 1)
 
 
 def test_redaction_and_edges(spark, edge, none):
@@ -465,13 +516,24 @@ def test_search_finds_every_link(spark, n, radius):
     prints = rng.integers(-(1 << 63), (1 << 63) - 1, n // 2).tolist()
     prints += [p ^ (sum(1 << int(b) for b in rng.choice(63, int(rng.integers(1, radius + 3)), replace=False))) for p in prints]
     prints = sorted(set(prints))
-    df = spark.createDataFrame([(i, p) for i, p in enumerate(prints)], "node bigint, fp bigint")
+    df = spark.createDataFrame([(i, p, i) for i, p in enumerate(prints)], "node bigint, fp bigint, group bigint")
     a = np.array(prints, dtype=np.int64).view(np.uint64)
     want = {(i, int(j)) for i in range(len(a)) for j in np.flatnonzero(np.bitwise_count(a[i + 1 :] ^ a[i]) <= radius) + i + 1}
     got = [(r.u, r.v) for r in simhash.links(df, radius).collect()]
     assert len(got) == len(set(got)) and set(got) == want and want
 
 
+def test_crowded_cells_lose_no_link(spark):
+    """One group crowds a cell and a few other groups, one of them a single row, lie within the radius of some of its rows."""
+    rng = np.random.default_rng(8)
+    base = int(rng.integers(0, 1 << 62))
+    crowd = sorted({base ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(20, 60, (400, 2))})
+    prints = [(i, p, 0) for i, p in enumerate(crowd)] + [(1000 + i, base ^ (1 << i) ^ (1 << 61), 1000 + i // 2) for i in range(6)]
+    got = {(r.u, r.v) for r in simhash.links(spark.createDataFrame(prints, "node bigint, fp bigint, group bigint"), 4).collect()}
+    want = {(u, v) for u, p, g in prints for v, q, h in prints if u < v and g != h and (p ^ q).bit_count() <= 4}
+    assert got == want and len(crowd) > simhash.CROWD
+
+
 def test_long_chains_are_one_class(spark):
     chain = spark.range(200).select((F.col("id") * 7 % 200).alias("u"), ((F.col("id") + 1) * 7 % 200).alias("v")).where("u <> v")
     from lectern.llm.graph import components
