@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_small, materialize, words
+from .common import join_small, ln_gamma, materialize, words
 
 #: Each rule rejects above a cutoff; cutoffs run from lenient to strict.
 RULES: dict[str, tuple[float, ...]] = {
@@ -30,21 +30,23 @@ def _windows(w: Column) -> Column:
 def text_features(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words.
 
-    A null text counts as empty: all zero.  Windows are compared by 64-bit
-    hashes within one text.
+    A null text counts as empty: all zero.  Windows meet by 64-bit hashes
+    within one text and count as equal only if their words are.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = docs.withColumns({"_w": words(F.col(text)), "_l": lines})
     df = df.withColumn("_h", _windows(F.col("_w")))
+    window = lambda i: F.slice(F.col("_w"), i + 1, F.lit(WINDOW))
     df = df.withColumn(
         "_s",
         F.when(
             F.size(F.array_distinct("_h")) < F.size("_h"),
-            F.array_sort(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
+            F.array_sort(F.transform("_h", lambda h, i: F.struct(h.alias("h"), window(i).alias("w"), i.alias("i")))),
         ),
     )
-    same = lambda e, k: (F.get(F.col("_s"), k - 1)["h"] == e["h"]) | (F.get(F.col("_s"), k + 1)["h"] == e["h"])
+    equal = lambda e, o: F.coalesce((o["h"] == e["h"]) & (o["w"] == e["w"]), F.lit(False))
+    same = lambda e, k: equal(e, F.get(F.col("_s"), k - 1)) | equal(e, F.get(F.col("_s"), k + 1))
     starts = F.array_sort(F.filter(F.transform("_s", lambda e, k: F.when(same(e, k), e["i"])), lambda x: x.isNotNull()))
     covered = F.aggregate(
         starts,
@@ -85,23 +87,23 @@ def most_rejections(n: Column, risk: float, level: Column) -> Column:
 
     At most k rejections among n good documents then show, at that level,
     that the true rate of false rejections is below `risk`.  Probabilities are
-    summed in logarithms, so n may be large.
+    summed in logarithms from twelve standard deviations below the mean, under
+    which less than 1e-30 lies, so that n may be large.
     """
     n = n.cast("double")
-    start = F.struct(
-        (n * F.log(F.lit(1.0 - risk))).alias("log_p"), F.lit(0.0).alias("below"), F.lit(-1).cast("bigint").alias("k")
-    )
+    odds, centre = F.log(F.lit(risk / (1.0 - risk))), n * risk
+    low = F.greatest(F.floor(centre - 12 * F.sqrt(centre) - 60), F.lit(0)).cast("bigint")
+    first = ln_gamma(n + 1) - ln_gamma(low + 1.0) - ln_gamma(n - low + 1.0) + low * F.log(F.lit(risk)) + (n - low) * F.log(F.lit(1.0 - risk))
+    start = F.struct(first.alias("log_p"), F.lit(0.0).alias("below"), (low - 1).cast("bigint").alias("k"))
 
     def step(acc: Column, j: Column) -> Column:
-        p = F.when(j == 0, acc["log_p"]).otherwise(
-            acc["log_p"] + F.log((n - j + 1) / F.greatest(j, F.lit(1))) + F.log(F.lit(risk / (1.0 - risk)))
-        )
+        p = F.when(j == low, acc["log_p"]).otherwise(acc["log_p"] + F.log((n - j + 1) / F.greatest(j, F.lit(1))) + odds)
         below = acc["below"] + F.exp(p)
         return F.struct(
             p.alias("log_p"), below.alias("below"), F.when(below <= level, j).otherwise(acc["k"]).cast("bigint").alias("k")
         )
 
-    return F.aggregate(F.sequence(F.lit(0).cast("bigint"), F.ceil(n * risk)), start, step, lambda acc: acc["k"])
+    return F.aggregate(F.sequence(low, F.ceil(centre)), start, step, lambda acc: acc["k"])
 
 
 def _choose(cuts: tuple[float, ...], good: Column, bad: Column, most: Column) -> Column:
@@ -159,8 +161,10 @@ def quality_rules(
     `labels` (doc_id, quality) is the labelled holdout; rows of it with a null
     label are ignored, a document labelled several times counts as often.  A
     document without a stratum belongs to the stratum null.  A text that is
-    null or empty fails the base rules.  Without labels no cutoff is certified
-    and only base rules reject.
+    null or empty fails the base rules; texts of any length are read whole.
+    Rows that repeat are judged one by one; a metric equal to its cutoff
+    passes.  Without labels no cutoff is certified and only base rules reject;
+    without rows the result is empty.  Further columns are not read.
     """
     feats, cuts = _fit(docs, labels, doc_id, text, stratum, risk, level)
     return _judged(feats, cuts).select(
@@ -168,12 +172,17 @@ def quality_rules(
     )
 
 
+def _cutoffs(feats: DataFrame, labels: DataFrame, risk: float, level: float) -> DataFrame:
+    """Cutoffs by `_of`, a stratum, from feats (doc_id, _stratum and text features) and labels."""
+    holdout = labels.select(F.col("doc_id"), F.col("quality")).where("quality is not null")
+    cuts = fit_cutoffs(feats.join(holdout, "doc_id"), "_stratum", F.col("quality") == 1, risk, level)
+    return materialize(cuts.withColumnRenamed("_stratum", "_of"), "cutoffs")
+
+
 def _fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, stratum: str, risk: float, level: float) -> tuple[DataFrame, DataFrame]:
     feats = docs.select(F.col(doc_id).alias("doc_id"), F.col(stratum).alias("_stratum"), F.col(text).alias("_text"))
     feats = materialize(text_features(feats, "_text").drop("_text"), "quality")
-    holdout = labels.select(F.col("doc_id"), F.col("quality")).where("quality is not null")
-    cuts = fit_cutoffs(feats.join(holdout, "doc_id"), "_stratum", F.col("quality") == 1, risk, level)
-    return feats, materialize(cuts.withColumnRenamed("_stratum", "_of"), "cutoffs")
+    return feats, _cutoffs(feats, labels, risk, level)
 
 
 def _judged(feats: DataFrame, cuts: DataFrame) -> DataFrame:
@@ -189,11 +198,12 @@ def keep_good(
 ) -> DataFrame:
     """The rows of docs that quality_rules keeps, with their own columns.
 
-    Features are computed again where the rows are, which costs less than
-    shuffling texts to meet their verdicts.
+    Nulls, empty and very long texts, ties, repeated rows, empty tables and
+    further columns are as in quality_rules; columns of any names stay.
+    Features are computed once and written beside their rows; the fit reads
+    back the features alone.
     """
-    _, cuts = _fit(docs, labels, doc_id, text, stratum, risk, level)
-    rows = docs.select(F.struct("*").alias("_row"), F.col(stratum).alias("_stratum"), F.col(text).alias("_text"))
-    judged = _judged(text_features(rows, "_text"), cuts)
-    # A filter on `kept` itself would be pushed below the features and compute them many times over.
-    return judged.withColumn("_kept", F.explode(F.array("kept"))).where("_kept").select("_row.*")
+    rows = docs.select(F.struct("*").alias("_row"), F.col(doc_id).alias("doc_id"), F.col(stratum).alias("_stratum"), F.col(text).alias("_text"))
+    feats = materialize(text_features(rows, "_text").drop("_text"), "quality-rows")
+    judged = _judged(feats, _cutoffs(feats.drop("_row"), labels, risk, level))
+    return judged.where("kept").select("_row.*")
