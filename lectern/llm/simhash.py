@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -72,29 +73,69 @@ def with_fingerprints(docs: DataFrame, doc_id: str, text: str, kinds: dict[str,
     return rows.mapInArrow(run, "doc_id bigint, " + ", ".join(f"{n} bigint" for n in names))
 
 
+#: What comparing one candidate costs, in keys asked for.
+CANDIDATE = 0.1
+#: Cells with more rows than this, and four times as many rows as groups, are met group by group.
+CROWD = 64
+
+
 def plan_segments(n: int, radius: int) -> list[tuple[int, int, int]]:
     """Segments (first bit, width, ball radius) for n fingerprints.
 
     Two fingerprints within `radius` bits agree, in at least one of m
     segments, within r = radius // m bits, and the first radius - m * r + 1
     segments suffice for that ball; the others need r - 1 (none if r is 0).
-    m is about BITS / log2(n), so that a table cell holds a few fingerprints.
+    m is the number of segments with the least cost, in keys that a
+    fingerprint asks for and candidates that these find by chance.
+    """
+
+    def plan(m: int) -> list[tuple[int, int, int]]:
+        r, extra = divmod(radius, m)
+        cuts = [round(BITS * i / m) for i in range(m + 1)]
+        return [(a, b - a, r if i <= extra else r - 1) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if i <= extra or r]
+
+    def cost(segments: list[tuple[int, int, int]]) -> float:
+        return sum(sum(comb(w, k) for k in range(r + 1)) * (1 + CANDIDATE * n / 2**w) for _, w, r in segments)
+
+    return min((plan(m) for m in range(2, max(radius + 1, 2) + 1)), key=cost)
+
+
+def crowds(cells: DataFrame, key: str) -> DataFrame:
+    """Every cell's a and b (least and greatest group) and whether it is a crowd; cells: key and group.
+
+    A cell is a crowd if it has over CROWD rows, four a group or more: then
+    rows look for other groups first and for their rows after, so that rows of
+    one group, which need not meet, are never paired.  Rows pre-aggregate.
     """
-    m = max(2, min(radius + 1, round(BITS / max(np.log2(max(n, 2)), 1) + 0.1))) if n > 4096 else min(radius + 1, 4)
-    r, extra = divmod(radius, m)
-    cuts = [round(BITS * i / m) for i in range(m + 1)]
-    return [(a, b - a, r if i <= extra else r - 1) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if i <= extra or r]
+    sizes = cells.groupBy(key, "group").agg(F.count(F.lit(1)).alias("n"))
+    by = sizes.groupBy(key).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups"), F.min("group").alias("a"), F.max("group").alias("b"))
+    return by.select(key, "a", "b", ((F.col("n") > CROWD) & (F.col("groups") * 4 <= F.col("n"))).alias("crowd"))
 
 
-def links(prints: DataFrame, radius: int, near: Callable[[str, str], Column] | None = None) -> DataFrame:
-    """All pairs of nodes whose fingerprints are within `radius` bits, each once: u < v.
+def meet(asked: DataFrame, cells: DataFrame, key: str, on: Column) -> DataFrame:
+    """Pairs (u, v) of nodes of different groups with one key, under the condition `on` of the sides p and t.
 
-    prints: `node` (bigint, distinct), `fp`, and maybe `group`: nodes of one
-    group are linked already and make no pairs.  Every fingerprint goes into a
-    table under each segment's value; each one asks for all values in the
-    Hamming ball about its own, and matches are verified on the whole
-    fingerprint, and by `near`, a condition on two sides with all columns of
-    prints.  A pair is reported by the first segment that finds it.
+    asked and cells: key, node, group and what `on` needs.
+    """
+    by = crowds(cells, key)
+    live = asked.join(by, key).where("a <> group or b <> group").drop("a", "b")
+    apart = (F.col(f"p.{key}") == F.col(f"t.{key}")) & (F.col("p.group") != F.col("t.group")) & on
+    pair = (F.col("p.node").alias("u"), F.col("t.node").alias("v"))
+    few = live.where("not crowd").alias("p").join(cells.alias("t"), apart).select(*pair)
+    others = cells.select(key, F.col("group").alias("other")).join(by.where("crowd").select(key), key, "left_semi").distinct()
+    to = live.where("crowd").join(others, key).where("group <> other").alias("p")
+    many = to.join(cells.alias("t"), apart & (F.col("p.other") == F.col("t.group"))).select(*pair)
+    return few.unionByName(many)
+
+
+def links(prints: DataFrame, radius: int) -> DataFrame:
+    """All pairs of nodes of different groups whose fingerprints are within `radius` bits, each once: u < v.
+
+    prints: `node` (bigint, distinct), `fp` and `group`: nodes of one group are
+    linked already and make no pairs.  Every fingerprint goes into a table
+    under each segment's value; each one asks for all values in the Hamming
+    ball about its own, and matches are verified on the whole fingerprint.  A
+    pair is reported by the first segment that finds it.
     """
     plan = plan_segments(prints.count(), radius)
     part = lambda c, a, w: F.shiftright(c, a).bitwiseAND(F.lit((1 << w) - 1))
@@ -102,20 +143,15 @@ def links(prints: DataFrame, radius: int, near: Callable[[str, str], Column] | N
     flips = [[sum(1 << b for b in c) for k in range(r + 1) for c in combinations(range(w), k)] for _, w, r in plan]
     balls = F.concat(*[_ball(key(i, a, w), flips[i]) for i, (a, w, _) in enumerate(plan)])
     cells = F.array(*[key(i, a, w) for i, (a, w, _) in enumerate(plan)])
-    side = lambda keys, n: prints.select(F.explode(keys).alias("key"), *prints.columns).alias(n)
-    asked, table = side(balls, "p"), side(cells, "t")
+    side = lambda keys: prints.select(F.explode(keys).alias("key"), "node", "fp", "group")
     apart = F.col("p.fp").bitwiseXOR(F.col("t.fp"))
-    on = (F.col("p.key") == F.col("t.key")) & (F.col("p.node") < F.col("t.node")) & (F.bit_count(apart) <= radius)
-    if "group" in prints.columns:
-        on = on & (F.col("p.group") != F.col("t.group"))
+    on = (F.col("p.node") < F.col("t.node")) & (F.bit_count(apart) <= radius)
     for i, (a, w, r) in enumerate(plan):
         on = on & ((F.shiftright(F.col("t.key"), 48) <= i) | (F.bit_count(part(apart, a, w)) > r))
-    if near is not None:
-        on = on & near("p", "t")
-    return asked.join(table, on).select(F.col("p.node").alias("u"), F.col("t.node").alias("v"))
+    return meet(side(balls), side(cells), "key", on)
 
 
-def star_links(prints: DataFrame, radius: int, near: Callable[[str, str], Column] | None = None) -> DataFrame:
+def star_links(prints: DataFrame, radius: int) -> DataFrame:
     """Links that connect most of a dense group without its pairs: u (a node), v (a smaller one), within `radius` bits.
 
     Fingerprints are cut into six parts; nodes that agree in three of them meet
@@ -130,10 +166,8 @@ def star_links(prints: DataFrame, radius: int, near: Callable[[str, str], Column
     rows = prints.select(F.explode(cells).alias("cell"), "node")
     first = rows.groupBy("cell").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").select("cell", "v")
     pairs = rows.join(first, "cell").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
-    rest = [c for c in prints.columns if c != "node"]
-    end = lambda n: prints.select(F.col("node").alias(n), *rest).alias(n)
-    ok = F.bit_count(F.col("u.fp").bitwiseXOR(F.col("v.fp"))) <= radius
-    return pairs.join(end("u"), "u").join(end("v"), "v").where(ok if near is None else ok & near("u", "v")).select("u", "v")
+    end = lambda n: prints.select(F.col("node").alias(n), "fp").alias(n)
+    return pairs.join(end("u"), "u").join(end("v"), "v").where(F.bit_count(F.col("u.fp").bitwiseXOR(F.col("v.fp"))) <= radius).select("u", "v")
 
 
 def grouped(prints: DataFrame, stars: DataFrame) -> DataFrame:
@@ -154,9 +188,12 @@ def simhash_components(
     apart; component_id is the smallest doc_id in the class.  Equal
     fingerprints collapse before the search, so copies make no pairs; stars
     then connect dense groups, and the search, which misses nothing, asks only
-    for links between different groups.  Null and
-    empty texts have fingerprint zero and link like any other; rows that
-    repeat are answered row by row.
+    for links between different groups.  Null and empty texts have fingerprint
+    zero and link like any other; texts of any length are read whole, in
+    chunks of shingles; rows that repeat are answered row by row, a null id
+    among them is a node that never names a class if another does.  A bit set
+    in exactly half of the hashes is zero.  Without rows the result is empty;
+    further columns are not read.
     """
     prints = materialize(with_fingerprints(docs, doc_id, text, {"fp": {"width": width}}, seed), "fingerprints")
     firsts = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
@@ -265,9 +302,8 @@ def band_links(prints: DataFrame) -> DataFrame:
     live = cells.join(mixed, "cell", "left_semi").select("at", "cell", "node")
     live = materialize(live.join(prints, "node"), "near-cells")
     shared = F.zip_with(F.col("p.bands"), F.col("t.bands"), lambda x, y: x == y)
-    on = (F.col("p.cell") == F.col("t.cell")) & (F.col("p.node") < F.col("t.node")) & (F.col("p.group") != F.col("t.group")) & alike("p", "t")
-    on = on & (F.array_position(shared, True) == F.col("p.at") + 1)
-    return live.alias("p").join(live.alias("t"), on).select(F.col("p.node").alias("u"), F.col("t.node").alias("v"))
+    on = (F.col("p.node") < F.col("t.node")) & alike("p", "t") & (F.array_position(shared, True) == F.col("p.at") + 1)
+    return meet(live, live, "cell", on)
 
 
 def similar(docs: DataFrame, pairs: DataFrame, seed: int = 42) -> DataFrame:
