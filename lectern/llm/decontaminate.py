@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import ahocorasick
 import pandas as pd
@@ -12,8 +11,12 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import discard, materialize, written
+
 #: Characters of benchmark items that one block holds; larger sets run block by block.
 BLOCK_CHARS = 8_000_000
+#: Characters of windows whose distances a worker remembers; it forgets all beyond that.
+REMEMBERED = 16_000_000
 #: Share of an item's characters that may differ, and the shortest item that may lie inside words; shorter ones match whole words only.
 EDIT_RATE, LEAST_CHARS = 0.05, 20
 LEAKS = "array<struct<item_id:bigint,distance:int,end:int>>"
@@ -64,6 +67,23 @@ def _whole(text: str, start: int, end: int) -> bool:
     return (start == 0 or text[start - 1] == " ") and (end == len(text) or text[end] == " ")
 
 
+class Distances(dict):
+    """Myers' distances by item and window, remembered up to a bound on the characters held."""
+
+    def __init__(self, items: list[tuple[int, str, int]]):
+        super().__init__()
+        self.items, self.held = items, 0
+
+    def __missing__(self, key: tuple[int, str]) -> tuple[int, int]:
+        k, window = key
+        if self.held > REMEMBERED:
+            self.clear()
+            self.held = 0
+        self.held += len(window) + 100
+        self[key] = found = myers(self.items[k][1], window)
+        return found
+
+
 class Matcher:
     """Finds items of one block in normalised texts."""
 
@@ -79,7 +99,7 @@ class Matcher:
             self.automaton.add_word(piece, (len(piece), where))
         if owners:
             self.automaton.make_automaton()
-        self.distance = lru_cache(100_000)(lambda k, window: myers(self.items[k][1], window))
+        self.distances = Distances(self.items)
 
     def leaks(self, text: str | None) -> list[tuple[int, int, int]]:
         """(item_id, distance, end) of every item found, its best and then first place, in item order."""
@@ -113,20 +133,19 @@ class Matcher:
                 continue
             if high is not None:
                 a = max(low, 0)
-                d, end = self.distance(k, t[a : max(high, 0)])
+                d, end = self.distances[k, t[a : max(high, 0)]]
                 best = min(best, (d, a + end))
             if s is not None:
                 low, high = s - errors, s + len(words) + errors
         return best
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[int, str]]]:
-    """The items, dealt into blocks of bounded size; one block comes to the driver at a time."""
+def _blocks(benchmark: DataFrame, item_id: str, text: str, most: int) -> tuple[int, Iterator[list[tuple[int, str]]]]:
+    """The number of blocks of bounded size that the items are dealt into, and the blocks; one comes to the driver at a time."""
     rows = benchmark.select(F.col(item_id).cast("bigint").alias("i"), F.col(text).alias("t")).where("i is not null and t is not null")
-    n = int((rows.agg(F.sum(F.length("t"))).first()[0] or 0) // BLOCK_CHARS) + 1
-    for k in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k)
-        yield [(r.i, r.t) for r in part.orderBy("i").toLocalIterator()]
+    n = int((rows.agg(F.sum(F.length("t"))).first()[0] or 0) // most) + 1
+    parts = (rows if n == 1 else rows.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k) for k in range(n))
+    return n, ([(r.i, r.t) for r in p.orderBy("i").toLocalIterator()] for p in parts)
 
 
 def _finder(held: Broadcast):  # noqa: ANN202
@@ -139,34 +158,52 @@ def _finder(held: Broadcast):  # noqa: ANN202
     return find
 
 
-def with_leaks(docs: DataFrame, benchmark: DataFrame, *, item_id: str = "item_id", item_text: str = "text", text: str = "text", out: str = "leaks") -> DataFrame:
-    """Add a column of the benchmark items that each row's whole text holds.
+def find_leaks(
+    docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block: int = BLOCK_CHARS
+) -> DataFrame:
+    """One row for each document and benchmark item that it holds: doc_id, item_id, distance, end_at.
 
     A leak is an item (normalised to lower-case words) within EDIT_RATE of its
-    length in edit distance to some part of the normalised text.  Each item is
-    cut into its error budget plus one pieces; an automaton finds exact hits of
-    pieces, and Myers' distance verifies the windows about them, so no
-    occurrence is missed.  Items below LEAST_CHARS characters match whole
-    words without edits.  Items without words, null texts and null items match
-    nothing; equal items all match.  Every other column stays as it is, so
-    nothing shuffles.
+    length in edit distance to some part of the normalised whole text.  Each
+    item is cut into its error budget plus one pieces; an automaton finds exact
+    hits of pieces, and Myers' distance verifies the windows about them, so no
+    occurrence is missed.  Of several places the best and then the first
+    counts.  Items below LEAST_CHARS characters match whole words without
+    edits.  Items without words, null texts and null items match nothing; equal
+    items all match; repeated rows are answered one by one; an empty table on
+    either side gives no rows; further columns are not read.  Blocks of items
+    (`block` characters) run one after another: the hits of one are written and
+    its broadcast is freed before the next one comes.  Texts never shuffle.
     """
-    df = docs
-    parts = []
-    for k, items in enumerate(_blocks(benchmark, item_id, item_text)):
-        find = _finder(docs.sparkSession.sparkContext.broadcast(items))
-        df = df.withColumn(f"_{out}_{k}", find(F.col(text)))
-        parts.append(f"_{out}_{k}")
-    return df.withColumn(out, F.concat(*parts)).drop(*parts)
-
-
-def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each document and benchmark item that it holds: doc_id, item_id, distance, end_at."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    found = with_leaks(rows, benchmark).select("doc_id", F.explode("leaks").alias("l"))
-    return found.select("doc_id", "l.item_id", "l.distance", F.col("l.end").alias("end_at"))
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of docs that hold no benchmark item."""
-    return with_leaks(docs, benchmark, text=text, out="_leaks").where(F.size("_leaks") == 0).drop("_leaks")
+    out = None
+    for items in _blocks(benchmark, item_id, item_text, block)[1]:
+        held = docs.sparkSession.sparkContext.broadcast(items)
+        hits = rows.select("doc_id", F.explode(_finder(held)(F.col("text"))).alias("l")).select("doc_id", "l.item_id", "l.distance", F.col("l.end").alias("end_at"))
+        hits = materialize(hits, "leaks")
+        held.unpersist()
+        out = hits if out is None else out.unionByName(hits)
+    return out
+
+
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", block: int = BLOCK_CHARS
+) -> DataFrame:
+    """The rows of docs that hold no benchmark item, by the rules of find_leaks.
+
+    All columns stay, whatever their names.  With several blocks of items the
+    rows that are left after one are written before the next one looks at
+    them, and the step before is deleted.
+    """
+    left, step = docs.select(F.struct("*").alias("row"), F.col(text).alias("text")), None
+    n, blocks = _blocks(benchmark, item_id, item_text, block)
+    for items in blocks:
+        held = docs.sparkSession.sparkContext.broadcast(items)
+        left = left.withColumn("n", F.size(_finder(held)(F.col("text")))).where("n = 0").select("row", "text")
+        if n > 1:
+            before = step
+            left, step = written(left, "clean")
+            held.unpersist()
+            if before is not None:
+                discard(docs.sparkSession, before)
+    return left.select("row.*")
