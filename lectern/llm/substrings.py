@@ -23,6 +23,8 @@ CHUNK = 200_000
 #: Runs of the index beyond which they are compacted into one.
 MOST_RUNS = 4
 RUN = "ah bigint, rh bigint, doc_id bigint, lo int, n int"
+#: Bits of the filter of ids, which bound the table that is broadcast: one row for 64 of them.
+FILTER_BITS = 1 << 23
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
@@ -81,6 +83,19 @@ def _merged(ids: np.ndarray, low: np.ndarray, n: np.ndarray) -> tuple[np.ndarray
     return ids[new], low[new], np.maximum.reduceat(low + n, new) - low[new] if len(new) else n
 
 
+def maybe_in(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id may be among ids: all that are, and few others as long as ids fill a small part of FILTER_BITS.
+
+    The filter is a table of at most FILTER_BITS / 64 rows, so docs need not
+    shuffle to meet it.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    bit = F.shiftleft(F.lit(1).cast("bigint"), F.pmod(place, F.lit(64)).cast("int"))
+    word = F.shiftright(place, 6)
+    bits = ids.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    return docs.join(F.broadcast(bits), (word == F.col("_word")) & (F.col("_bits").bitwiseAND(bit) != 0), "left_semi")
+
+
 class FingerprintIndex:
     """Sorted immutable runs of the window fingerprints seen so far.
 
@@ -152,10 +167,13 @@ class FingerprintIndex:
         return repeats
 
     def _edges(self, docs: DataFrame, history: DataFrame | None, edges: DataFrame) -> DataFrame:
-        """Compare the single windows of edge runs; those of the batch that are not the first of their words."""
-        texts = docs.withColumn("new", F.lit(True))
+        """Compare the single windows of edge runs; those of the batch that are not the first of their words.
+
+        Only texts that have such runs shuffle, of the batch and of history alike.
+        """
+        texts = maybe_in(docs, edges).withColumn("new", F.lit(True))
         if history is not None:
-            texts = texts.unionByName(history.withColumn("new", F.lit(False)))
+            texts = texts.unionByName(maybe_in(history, edges).withColumn("new", F.lit(False)))
         by = edges.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n")).alias("runs")).hint("shuffle_hash")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,6 +191,12 @@ class FingerprintIndex:
         later = windows.where("new").join(first, ["w1", "w2"]).where("doc_id <> f.doc_id or lo <> f.lo")
         return later.select("doc_id", "lo", F.lit(1).alias("n"))
 
+    def close(self) -> None:
+        """Drop all runs; results found so far do not read them."""
+        for drop in self.drops:
+            drop()
+        self.runs, self.drops = [], []
+
     def compact(self) -> None:
         """Merge all runs into one; a fingerprint keeps its first place."""
         merged = self._all().groupBy("ah", "rh").agg(F.min(F.struct("doc_id", "lo", "n")).alias("f")).select("ah", "rh", "f.*")
@@ -204,7 +228,8 @@ def keep_first(docs: DataFrame, repeats: DataFrame) -> DataFrame:
 
     names = ["doc_id", "n_words", "n_removed", "kept", "kept_sha256"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
-    rows = docs.join(by, "doc_id", "left").select("doc_id", "text", "runs")
+    rows = docs.where("doc_id is not null").join(by, "doc_id", "left").select("doc_id", "text", "runs")
+    rows = rows.unionByName(docs.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<struct<lo:int,n:int>>").alias("runs")))
     return rows.mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept binary, kept_sha256 string")
 
 
@@ -226,13 +251,16 @@ def substring_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     Earlier is a smaller doc_id, or an earlier start in the same document.
     Windows are judged on the input.  Returns doc_id, n_words, n_removed, kept
     (binary) and kept_sha256 for every row.  Documents go through the index in
-    `batches` batches by doc_id.  Null texts have no words; rows without an id
-    are kept whole; rows that repeat an id count as one document and are never
-    removed for each other's sake.
+    `batches` batches by doc_id.  Null and empty texts have no words, texts of
+    any length are read whole; rows without an id are kept whole; rows that
+    repeat an id count as one document and are never removed for each other's
+    sake; without rows the result is empty; further columns are not read.
 
     Instead of all windows the index holds one entry for each run of windows
-    with the same anchor (their least gram hash), about a sixth as many.
-    Where one anchor has differing runs, single windows decide, by 128 bits.
+    with the same anchor (their least gram hash), about a sixth as many.  Runs
+    count as equal if 64 bits of their anchor's words and 64 bits of all their
+    words are; where one anchor has differing runs, single windows decide, by
+    two hashes of 64 bits each.
     """
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("binary").alias("text"))
     valid = rows.where("doc_id is not null")
@@ -244,4 +272,5 @@ def substring_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         part = part if low is None else part.where(F.col("doc_id") > low)
         more = index.add(part, None if low is None else valid.where(F.col("doc_id") <= low))
         repeats = more if repeats is None else repeats.unionByName(more)
+    index.close()
     return keep_first(rows, repeats)

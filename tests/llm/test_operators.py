@@ -252,6 +252,17 @@ def test_substrings_against_brute_force(spark, batches, monkeypatch):
     assert got == brute_dedup(docs)
 
 
+def test_later_batches_read_few_earlier_texts(spark):
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(60))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    near = substrings.maybe_in(docs, docs.where("doc_id < 20").select("doc_id"))
+    got = {r.doc_id for r in near.collect()}
+    assert set(range(20)) <= got and len(got) < 40
+    before = set(spark.catalog.listTables())
+    assert substrings.substring_dedup(docs, batches=3).where("n_removed > 0").count() == 0
+    assert {t.name for t in spark.catalog.listTables()} == {t.name for t in before}
+
+
 def test_substring_edges(edge, none):
     got = collections.Counter(tuple(r)[:3] for r in substrings.substring_dedup(edge).drop("kept").collect())
     assert got[5, 3, 0] == 2 and got[6, 5000, 4999] == 1 and got[None, 16, 0] == 1 and sum(got.values()) == len(EDGE)
@@ -414,6 +425,68 @@ def test_license_rules():
     assert name("a mention of the MIT License in a sentence") == [] and name(None) == []
 
 
+def every_sentence():
+    """All known sentences, written out: normalised text to identifier, the first one of equals."""
+    n, out = licenses.normalize, {}
+    full, short = licenses.named()
+    for name, texts in (licenses.SENTENCES | licenses.headers()).items():
+        for t in texts:
+            out.setdefault(n(t), name)
+    for lead in ("", "The", *licenses.UNDER, *licenses.SAYS, *[f"{u} the" for u in licenses.UNDER]):
+        for names in (full,) if lead in ("", "The") else (full, short):
+            for lic, texts in names.items():
+                for t in texts:
+                    for tail in ("", *licenses.AFTER):
+                        out.setdefault(n(f"{lead} {t} {tail}"), f"Name:{lic}")
+    return out
+
+
+def brute_licenses(text, known, rules):
+    parts = [p for p in (licenses.normalize(s) for s in re.split(r"\n+|(?<=[.!?:])[ \t\r\f\v]+", text or "")) if p]
+    longest, found, i = max(len(k.split()) for k in known), [], 0
+    while i < len(parts):
+        runs = [(k, " ".join(parts[i:k])) for k in range(i + 1, len(parts) + 1) if len(" ".join(parts[i:k]).split()) <= longest]
+        hit = max(((k, known[r]) for k, r in runs if r in known), default=None)
+        if hit:
+            found.append(hit[1])
+        i = hit[0] if hit else i + 1
+    taken, out = set(), []
+    for lic, rule in rules:
+        for i in range(len(found) - len(rule) + 1):
+            span = range(i, i + len(rule))
+            if tuple(found[i : i + len(rule)]) == rule and not taken & set(span):
+                taken |= set(span)
+                out.append((i, lic))
+    return found, [(lic, i) for i, lic in sorted(out)]
+
+
+def test_every_sentence_and_rule_by_its_own_text():
+    r, known = licenses.Recogniser(), every_sentence()
+    assert len(known) > 10_000 and len(licenses.rules()) > 140
+    assert all(r.sentences(t) == [name] for t, name in known.items())
+    texts = {name: t for t, name in known.items()}
+    for lic, rule in licenses.rules():
+        assert [x for x, _ in r.licenses(r.sentences("\n".join(texts[n] for n in rule)))] == [lic], (lic, rule)
+    name = lambda t: [x for x, _ in r.licenses(r.sentences(t))]
+    assert name("This file is licensed under the LGPL-2.1-or-later.") == ["LGPL-2.1-or-later"] and name("License: AGPL-3.0-only") == ["AGPL-3.0"]
+    assert name("Ruby") == name("curl and Vim") == name("CC0") == [] and name("Licensed under CC0.") == ["CC0-1.0"]
+
+
+def test_licenses_against_brute_force():
+    r, known = licenses.Recogniser(), every_sentence()
+    rng, pool, rules = np.random.default_rng(4), list(known), licenses.rules()
+    shorts = [t for t in pool if len(t.split()) < 9]
+    for _ in range(40):
+        lines = []
+        for _ in range(int(rng.integers(1, 9))):
+            t = (shorts if rng.random() < 0.5 else pool)[int(rng.integers(0, len(shorts)))].split()
+            cut = int(rng.integers(0, len(t))) if rng.random() < 0.4 else 0
+            lines += [" ".join(t[:cut]), " ".join(t[cut:]) + (" extra" if rng.random() < 0.2 else ".")]
+        text = "\n".join(lines)
+        found = r.sentences(text)
+        assert (found, r.licenses(found)) == brute_licenses(text, known, rules), text
+
+
 @pytest.mark.parametrize("prefix", ["", "# ", " * ", "// ", "    "])
 @pytest.mark.parametrize("width", [30, 60, 80])
 def test_wrapped_licenses_are_found(width, prefix):
