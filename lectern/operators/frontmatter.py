@@ -77,3 +77,35 @@ def export_lines(rows: DataFrame, urls: DataFrame, target: str) -> DataFrame:
     )
     j = f.join(table, "doc_id", "left")
     return j.select("doc_id", "i", F.when(F.col("in_fence") | F.col("urls").isNull(), F.col("line")).otherwise(new).alias("line"))
+
+
+def text_share(pages: DataFrame, by: str, least: int = 40) -> DataFrame:
+    """Share of pages that have text, at least `least` characters apart from blanks: by, share."""
+    ok = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", "")) >= least
+    return pages.groupBy(by).agg(F.round(F.avg(ok.cast("int")), 6).alias("share"))
+
+
+def _letters(c: Column) -> Column:
+    return F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
+
+
+def author_name(name: Column) -> Column:
+    """A name without the marks of notes and affiliations behind it."""
+    bare = F.trim(F.regexp_replace(name, r"[\s,]*([*∗＊†‡§¶‖¹²³⁴⁵⁶⁷⁸⁹⁰0-9]+[\s,]*)+$", ""))
+    return F.when(bare == "", F.trim(name)).otherwise(bare)
+
+
+def grounded_authors(rows: DataFrame, trust_order: bool = True) -> DataFrame:
+    """Author lists whose names, addresses and affiliations all occur in the source: rows' columns and authors, null where one does not.
+
+    rows: entries, an array of (name, emails, affiliations), and source.  Names
+    and affiliations are compared by letters and digits; with `trust_order`
+    authors stand in the source's order.
+    """
+    flat, low = _letters(F.col("source")), F.lower("source")
+    filled = lambda xs: F.filter(xs, lambda x: F.trim(x) != "")
+    ok = (F.size("entries") > 0) & F.forall("entries", lambda e: (F.trim(e["name"]) != "") & F.contains(flat, _letters(e["name"]))
+        & F.forall(filled(e["emails"]), lambda m: F.contains(low, F.lower(F.trim(m)))) & F.forall(filled(e["affiliations"]), lambda a: F.contains(flat, _letters(a))))
+    at = lambda e, i: F.struct((F.instr(flat, _letters(author_name(e["name"]))) if trust_order else F.lit(0)).alias("at"), i.alias("i"))
+    order = F.array_sort(F.transform("entries", lambda e, i: F.struct(at(e, i).alias("at"), author_name(e["name"]).alias("name"), filled(e["emails"]).alias("emails"), filled(e["affiliations"]).alias("affiliations"))))
+    return rows.withColumn("authors", F.when(ok, F.transform(order, lambda x: x.dropFields("at"))))

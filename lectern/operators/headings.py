@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import STRICT_ROMAN, heading_key
 
+#: Numbers before headings.
 ARABIC = r"^([0-9]+(\.[0-9]+)*)\.?\)?\s+(.*)$"
 ROMAN = r"^([IVXLCDM]+)[.)]\s+(.*)$"
 LETTER = r"^([A-Z])(\.([0-9]+(\.[0-9]+)*)|[.)])\s+(.*)$"
@@ -129,3 +130,12 @@ def inherit(new: DataFrame, old: DataFrame, text: str = "text") -> DataFrame:
     first = old.withColumn("_k", heading_key(F.col(text))).groupBy("doc_id", "_k").agg(F.min_by(F.struct("level", "auto_level"), "pos").alias("o"))
     j = new.withColumn("_k", heading_key(F.col(text))).join(first, ["doc_id", "_k"], "left")
     return j.withColumn("level", F.when(F.col("o.level") != F.col("o.auto_level"), F.col("o.level")).otherwise(F.col("level"))).drop("_k", "o")
+
+
+def learned_levels(df: DataFrame, learned: DataFrame, text: str = "text") -> DataFrame:
+    """Add level: what a heading of the same key was given before, null where none was.
+
+    learned: text and level; of several levels of a key the smallest counts.
+    """
+    table = learned.groupBy(heading_key(F.col("text")).alias("_k")).agg(F.min("level").alias("level"))
+    return df.withColumn("_k", heading_key(F.col(text))).join(table, "_k", "left").drop("_k")

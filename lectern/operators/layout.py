@@ -99,3 +99,61 @@ def lower_percentile(values: Column, q: float) -> Column:
     """Lower nearest-rank percentile of an array."""
     s = F.array_sort(values)
     return F.get(s, F.least(F.floor(F.size(s) * q), F.size(s) - 1).cast("int"))
+
+
+#: What foot notes of authors and of publishers start with or hold.
+AUTHOR_NOTE = r"(?i)^[*∗†‡§¶]|corresponding author|equal contribution|contributed equally|e-?mail:"
+PUBLISHER_NOTE = r"(?i)permission to make|copyright held|©|\(c\) [0-9]{4}|all rights reserved|licensed under|acm isbn|https?://doi\.org/10\.1145|publication rights|this work is licensed"
+
+
+def footnote_kind(text: Column) -> Column:
+    """Whose foot note a text is: boilerplate of a publisher, author, or body."""
+    return F.when(text.rlike(PUBLISHER_NOTE), "boilerplate").when(text.rlike(AUTHOR_NOTE), "author").otherwise("body")
+
+
+def relocate_footers(items: DataFrame, pictures: DataFrame, least_logo: float = 120.0, most_notice: int = 400) -> DataFrame:
+    """Items of a page without what is no text of it: items' columns and kind.
+
+    items: doc_id, page, unit, label, l, t, r, b, text; pictures: doc_id, page,
+    l, t, r, b, captioned.  Foot notes are sorted into body, author and
+    boilerplate; short boilerplate goes, so do uncaptioned pictures of less
+    than `least_logo` points on the first page, and text that is no caption
+    and whose centre lies inside a picture.
+    """
+    i = items.withColumn("kind", F.when(F.col("label") == "footnote", footnote_kind(F.col("text"))).otherwise(F.col("label")))
+    notice = (F.col("label") == "text") & F.col("text").rlike(PUBLISHER_NOTE) & (F.length("text") < most_notice)
+    logo = (F.col("label") == "picture") & (F.col("page") == 1) & (F.greatest(F.col("r") - F.col("l"), F.col("b") - F.col("t")) < least_logo) & ~F.coalesce("captioned", F.lit(False)) if "captioned" in items.columns else F.lit(False)
+    i = i.where(~notice & ~logo)
+    p = pictures.select("doc_id", "page", F.col("l").alias("pl"), F.col("t").alias("pt"), F.col("r").alias("pr"), F.col("b").alias("pb"))
+    x, y = (F.col("l") + F.col("r")) / 2, (F.col("t") + F.col("b")) / 2
+    inside = i.where("label = 'text'").join(p, ["doc_id", "page"]).where((x > F.col("pl")) & (x < F.col("pr")) & (y > F.col("pt")) & (y < F.col("pb")))
+    return i.join(inside.select("doc_id", "page", "unit").distinct(), ["doc_id", "page", "unit"], "left_anti")
+
+
+def unwrapped_references(cells: DataFrame, lines: DataFrame) -> DataFrame:
+    """Tables that are really lists of references, as entries: doc_id, table, marker, text.
+
+    cells: doc_id, table, row, col, l, text, spans, under (stands below a
+    heading of references); lines: doc_id, table, base, l, text.  Such a table
+    has two filled columns and no spans, its markers count up by one, and its
+    text is right of them.  Each line goes to the last marker at or above it;
+    markers' own lines give the base.
+    """
+    marker = F.regexp_extract("text", r"^\[?([0-9]{1,3})[\].]?$", 1).try_cast("int")
+    c = cells.withColumn("marker", F.when(F.col("col") == 0, marker))
+    w = Window.partitionBy("doc_id", "table").orderBy("row")
+    first = c.where("col = 0").withColumn("step", F.col("marker") - F.lag("marker").over(w))
+    ok = first.groupBy("doc_id", "table").agg(
+        F.bool_and(F.col("marker").isNotNull()).alias("m"), F.bool_and(F.coalesce(F.col("step") == 1, F.lit(True))).alias("s"), F.max("l").alias("left"), F.count(F.lit(1)).alias("n")
+    )
+    shape = c.groupBy("doc_id", "table").agg(
+        F.max("col").alias("cols"), F.bool_and(~F.col("spans")).alias("flat"), F.bool_and("under").alias("under"), F.bool_and(F.trim("text") != "").alias("filled"),
+        F.min(F.when(F.col("col") == 1, F.col("l"))).alias("body"),
+    )
+    good = ok.join(shape, ["doc_id", "table"]).where("m and s and n >= 2 and cols = 1 and flat and under and filled and body > left").select("doc_id", "table", "left")
+    own = F.regexp_extract("text", r"^\[?([0-9]{1,3})[\].]?$", 1).try_cast("int")
+    rows = lines.join(good, ["doc_id", "table"]).withColumn("marker", F.when(F.col("l") <= F.col("left"), own))
+    order = Window.partitionBy("doc_id", "table").orderBy("base", F.col("marker").isNull(), "l")
+    to = rows.withColumns({"entry": F.last("marker", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), "n": F.row_number().over(order)})
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("marker").isNull(), F.struct("n", "text")))), lambda x: x["text"]), " ")
+    return to.where("entry is not null").groupBy("doc_id", "table", F.col("entry").alias("marker")).agg(text.alias("text"))

@@ -126,3 +126,9 @@ def suffixed(names: DataFrame, by: str = "name", pos: str = "pos") -> DataFrame:
     """Make names unique: the second of a name gets `-2`, the third `-3`."""
     n = F.row_number().over(Window.partitionBy(by).orderBy(pos))
     return names.withColumn("unique", F.when(n == 1, F.col(by)).otherwise(F.concat(F.col(by), F.lit("-"), n)))
+
+
+def copies(originals: DataFrame, everything: DataFrame) -> DataFrame:
+    """Other files with the bytes of an original: name, copy.  Both: name, digest; a digest that all share pairs originals only."""
+    other = everything.select(F.col("name").alias("copy"), "digest")
+    return originals.select("name", "digest").join(other, "digest").where("name <> copy").select("name", "copy")

@@ -7,24 +7,61 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import tokens
+from lectern.functions.text import DENSE, bigrams, exploded_tokens, token_of_word, tokens
 from lectern.session import materialize
 
 K1, B, REPEAT, TOP = 1.5, 0.75, 0.15, 8
+#: Fixed value: words of a question about notes.
 NOTE_HINT = r"(?i)메모|코멘트|하이라이트|표시|note|comment|highlight|annotat"
 
 
-def postings(chunks: DataFrame, row: str, text: str = "text", split: Column | None = None) -> DataFrame:
-    """row, term, tf and the chunk's length in tokens; chunks without tokens have none."""
-    t = chunks.select(F.col(row).alias("row"), (tokens(F.col(text)) if split is None else split).alias("t"))
-    t = t.select("row", F.size("t").alias("len"), F.explode_outer("t").alias("term")).where("term is not null")  # explode would tokenise twice
-    return t.groupBy("row", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+def terms(chunks: DataFrame, row: str, text: str = "text") -> DataFrame:
+    """Every search token of every chunk: row, term.
+
+    Words are exploded first and stemmed by plain columns after, which
+    generated code covers; only runs of dense scripts go through an array of
+    bigrams.
+    """
+    words = chunks.select(F.col(row).alias("row"), F.explode_outer(exploded_tokens(F.col(text))).alias("w"))
+    dense = F.col("w").rlike(f"^{DENSE}$")
+    plain = words.select("row", "w", F.when(~dense, token_of_word(F.col("w"))).alias("term"), dense.alias("dense"))
+    pair = F.when(F.length("w") == 1, F.array("w")).otherwise(bigrams(F.col("w")))
+    return plain.select("row", F.explode_outer(F.when(F.col("dense"), pair).otherwise(F.array("term"))).alias("term")).where("term is not null")
+
+
+def postings(chunks: DataFrame, row: str, text: str = "text") -> DataFrame:
+    """row, term, tf; chunks without tokens have none."""
+    return terms(chunks, row, text).groupBy("row", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def build_index(chunks: DataFrame, row: str, text: str = "text", buckets: int = 16) -> dict:
+    """Postings of a corpus, written once for many searches: {posts, lengths, n, avgdl}.
+
+    posts (term, row, tf, len, bucket) is partitioned by a bucket of its term,
+    so that a search reads only the buckets of its terms.
+    """
+    posts = materialize(postings(chunks, row, text), "postings")
+    lengths = posts.groupBy("row").agg(F.sum("tf").alias("len"))
+    stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl")).first()
+    whole = posts.join(lengths, "row").withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    return {"posts": materialize(whole, "index", by="bucket"), "buckets": buckets, "n": stats.n, "avgdl": stats.avgdl}
+
+
+def search_index(index: dict, queries: DataFrame, by: str, k: int = TOP, digits: int | None = None) -> DataFrame:
+    """The k best rows of each query over a built index: by, row, score, rank.
+
+    queries: by, term, qn.  Only the buckets that hold a term of a query are read.
+    """
+    n = index["buckets"]
+    asked = [r.b for r in queries.select(F.pmod(F.xxhash64("term"), F.lit(n)).cast("int").alias("b")).distinct().limit(n).collect()]
+    posts = index["posts"].where(F.col("bucket").isin(asked) if len(asked) < n else F.lit(True))
+    scores = bm25(posts.select("row", "len", "term", "tf"), queries, index, by)
+    return top(scores if digits is None else scores.withColumn("score", F.round("score", digits)), k, by)
 
 
-def statistics(chunks: DataFrame, text: str = "text", split: Column | None = None) -> DataFrame:
-    """One row: n and avgdl over chunks that have tokens."""
-    size = F.size(tokens(F.col(text)) if split is None else split)
-    return chunks.select(size.alias("len")).where("len > 0").agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"))
+def query_terms(queries: DataFrame, by: str, text: str = "text") -> DataFrame:
+    """by, term and how often the query has it."""
+    return terms(queries, by, text).groupBy(F.col("row").alias(by), "term").agg(F.count(F.lit(1)).alias("qn"))
 
 
 def bm25(posts: DataFrame, query: DataFrame, stats: dict, by: str | None = None) -> DataFrame:
@@ -56,16 +93,16 @@ def top(scores: DataFrame, k: int = TOP, by: str | None = None) -> DataFrame:
 def search(chunks: DataFrame, question: list[str], row: str, text: str = "text", k: int = TOP, digits: int | None = None) -> DataFrame:
     """The k best chunks for the tokens of one question: row, score.
 
-    The corpus is tokenised once: each chunk keeps its length and the tokens
-    asked for, from which document frequencies, the average length and the
-    scores follow.
+    The corpus is tokenised once: each chunk keeps how often it has the tokens
+    asked for and how many others, from which document frequencies, the
+    average length and the scores follow.
     """
     wanted = Counter(question)
-    kept = F.filter("t", lambda t: t.isin(list(wanted)))
-    small = chunks.select(F.col(row).alias("row"), tokens(F.col(text)).alias("t")).select("row", F.size("t").alias("len"), kept.alias("t"))
-    small = materialize(small, "search")
-    stats = small.where("len > 0").agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl")).first().asDict()
-    posts = small.select("row", "len", F.explode("t").alias("term")).groupBy("row", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    kept = F.when(F.col("term").isin(list(wanted)), F.col("term"))
+    small = materialize(terms(chunks, row, text).groupBy("row", kept.alias("term")).agg(F.count(F.lit(1)).alias("tf")), "search")
+    lengths = small.groupBy("row").agg(F.sum("tf").alias("len"))
+    stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl")).first().asDict()
+    posts = small.where("term is not null").join(lengths, "row")
     query = chunks.sparkSession.createDataFrame(list(wanted.items()), "term string, qn long")
     scores = bm25(posts, query, stats)
     return top(scores if digits is None else scores.withColumn("score", F.round("score", digits)), k)
@@ -79,12 +116,18 @@ def retrieve(chunks: DataFrame, ranked: DataFrame, notes: DataFrame, question: s
     """Rows for an answer, in order: rows with notes first if the question asks for notes, else by rank.
 
     Without any hit the first three searchable rows.  chunks: row, searchable;
-    ranked: row, score; notes: row.
+    ranked: row, score; notes: row.  Only the best k and the rows with notes
+    are ordered.
     """
-    hits = ranked.select("row", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("score"), "row")).alias("rank"))
+    best = ranked.orderBy(F.desc("score"), "row").limit(k)
+    hits = best.select("row", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("score"), "row")).alias("rank"))
     if search_notes(question):
-        noted = notes.select("row").distinct().withColumn("noted", F.lit(0))
-        hits = hits.join(noted, "row", "full").select("row", F.coalesce("noted", F.lit(1)).alias("noted"), "rank")
+        noted = notes.select("row").distinct()
+        ranks = ranked.join(noted, "row", "left_semi").orderBy(F.desc("score"), "row").limit(k).select("row", "score")
+        ranks = ranks.select("row", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("score"), "row")).alias("rank"), F.lit(0).alias("noted"))
+        rest = noted.join(ranked.select("row"), "row", "left_anti").orderBy("row").limit(k).select("row", F.lit(None).cast("int").alias("rank"), F.lit(0).alias("noted"))
+        others = hits.join(noted, "row", "left_anti").select("row", "rank", F.lit(1).alias("noted"))
+        hits = ranks.unionByName(rest).unionByName(others)
     else:
         hits = hits.withColumn("noted", F.lit(1))
     spare = chunks.where("searchable").orderBy("row").limit(3).select("row", F.lit(2).alias("noted"), F.lit(None).cast("int").alias("rank"))

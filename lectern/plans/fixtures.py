@@ -30,7 +30,7 @@ TERMS = """
 select paper, cast(row_number() over (partition by paper order by l_orderkey, l_linenumber, l_partkey) as int) as pos,
   case when l_orderkey % 3 = 0 then upper(p_name) when l_orderkey % 3 = 1 then '  ' || p_name else p_name end as term,
   case when l_orderkey % 5 = 0 then '' else p_brand end as rendering, p_type as policy
-from (select distinct l_suppkey as paper, l_orderkey, l_linenumber, l_partkey from lineitem where l_linenumber <= 3) l
+from (select distinct l_suppkey as paper, l_orderkey, l_linenumber, l_partkey from lineitem) l
 join part on p_partkey = l_partkey
 """
 #: A library: doc_id, title, mtime, hidden, pinned_at, projects.
@@ -56,9 +56,20 @@ from events
 CALLS = "select user_id as source, ts, event_id, event_type = 'error' or event_type = 'click' as failed from events"
 #: Layout items in two columns with page furniture: doc_id, page, unit, label, l, t, r, b, text.
 ITEMS = """
-select l_orderkey % 50 as doc_id, cast(l_linenumber as int) as page, cast(row_number() over (partition by l_orderkey % 50, l_linenumber order by l_orderkey, l_partkey, l_suppkey, l_quantity) as int) as unit,
+select cast(floor(l_orderkey / 100) as bigint) as doc_id, cast(l_linenumber as int) as page, cast(row_number() over (partition by floor(l_orderkey / 100), l_linenumber order by l_orderkey, l_partkey, l_suppkey, l_quantity) as int) as unit,
   'text' as label, case when l_partkey % 2 = 0 then 50.0 else 320.0 end + cast(l_quantity as double) as l, cast(l_partkey % 700 as double) as t,
   case when l_partkey % 2 = 0 then 50.0 else 320.0 end + cast(l_quantity as double) + 180.0 as r, cast(l_partkey % 700 as double) + 12.0 as b,
   case when l_suppkey % 3 = 0 then 'ends here.' when l_suppkey % 3 = 1 then 'goes on' else 'Starts and' end as text
 from (select distinct l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity from lineitem)
 """
+#: Lines of small documents in markdown: doc_id, i (from 0), name, line; consecutive kinds make figures, captions, tables and lists.
+MARKDOWN = """
+select doc_id, i, p_name as name, case (doc_id + i) % 14
+  when 0 then '## ' || cast(i as string) || '.1 ' || p_name when 1 then 'Figure ' || cast(doc_id % 3 as string) || ': ' || p_name when 2 then ''
+  when 3 then '![x](a/img-' || cast(doc_id % 5 as string) || '.png)' when 4 then case when doc_id % 7 = 0 then '## Axis ' || p_name else '' end when 5 then case when doc_id % 4 = 0 then 'Figure 1: ' || p_name else '**Fig. ' || cast(doc_id % 2 as string) || '.** &lt;i&gt;' || p_name end
+  when 6 then '## ' || p_name when 7 then '| ' || p_name || ' | b |' when 8 then 'Table 4 ' || p_name when 9 then '# <i>Table IX: ' || p_name
+  when 10 then '### • ' || p_name when 11 then 'Plain ' || chr(92) || '_text' || chr(92) || '_ of <b>' || p_name || '</b>. Figure 3 shows [[r' || cast(i as string) || ']].' when 12 then '## References'
+  else 'Keywords: ' || p_name || ' ![y](b.png) ![z]( c/d.png )' end as line
+from (select l_orderkey as doc_id, cast(row_number() over (partition by l_orderkey order by l_linenumber) - 1 as int) as i, min(l_partkey) as pk from lineitem group by l_orderkey, l_linenumber)
+join part on p_partkey = pk
+"""

@@ -51,12 +51,11 @@ def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("row").alias("doc_id"), "score")
 
 
-@query("bm25_terms", f"with {_POSTS} select term, count(*) as df, sum(tf)::bigint as n from tf group by term having count(*) >= 20")
+@query("bm25_terms", f"with {_POSTS} select term, count(*) as df, sum(tf)::bigint as n from tf group by term")
 def bm25_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Document and total frequencies of common terms (2.6.6)."""
+    """Document and total frequencies of all terms (2.6.6)."""
     docs = load(spark, sf_dir, "documents")
-    g = search.postings(docs, "doc_id").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("n"))
-    return g.where("df >= 20")
+    return search.postings(docs, "doc_id").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("n"))
 
 
 @query("search_budget", """
@@ -85,14 +84,14 @@ def retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NOTES = """
-select doc_id % 100 as doc_id, doc_id as id, cast(case when doc_id % 3 = 0 then 100000000 else doc_id end as bigint) as row,
+select cast(floor(doc_id / 20) as bigint) as doc_id, doc_id as id, cast(case when doc_id % 3 = 0 then 100000000 else doc_id end as bigint) as row,
   trim(regexp_replace(substr(text, 5, 60), '[ \\t\\r\\n]+', ' ')) as quote
 from documents
 """
 
 
 @query("attach_notes", f"""
-with c as (select doc_id % 100 as doc_id, doc_id as row, trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g')) as flat from documents),
+with c as (select cast(floor(doc_id / 20) as bigint) as doc_id, doc_id as row, trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g')) as flat from documents),
 notes as ({_NOTES.replace("' ')) as quote", "' ', 'g')) as quote")}),
 direct as (select n.doc_id, n.id, n.row from notes n where exists (select 1 from c where c.doc_id = n.doc_id and c.row = n.row)),
 lost as (select n.* from notes n where not exists (select 1 from c where c.doc_id = n.doc_id and c.row = n.row) and quote <> ''),
@@ -103,7 +102,7 @@ select * from direct union all select * from best
 """)
 def attach_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes find their rows, by number or by quote (2.5.11)."""
-    chunks = load(spark, sf_dir, "documents").select((F.col("doc_id") % 100).alias("doc_id"), F.col("doc_id").alias("row"), "text")
+    chunks = load(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 20).alias("doc_id"), F.col("doc_id").alias("row"), "text")
     return search.attach_notes(chunks, relation(spark, sf_dir, _NOTES.replace("\\\\", "\\")))
 
 

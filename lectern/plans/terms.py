@@ -344,8 +344,10 @@ def occurrence_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("bigram_dice", """
 with p as (select p_partkey, p_name as a, p_brand || p_name as b from part),
-g as (select *, list_distinct(list_transform(generate_series(1, greatest(length(a) - 1, 1)), lambda i: substr(a, i, 2))) as ga, list_distinct(list_transform(generate_series(1, greatest(length(b) - 1, 1)), lambda i: substr(b, i, 2))) as gb from p)
-select p_partkey, round(2.0 * len(list_intersect(ga, gb)) / (len(ga) + len(gb)), 9) as score from g
+ga as (select p_partkey, substr(a, i, 2) as g, count(*) as n from p, lateral (select unnest(generate_series(1, length(a) - 1)) as i) group by all),
+gb as (select p_partkey, substr(b, i, 2) as g, count(*) as n from p, lateral (select unnest(generate_series(1, length(b) - 1)) as i) group by all),
+hit as (select p_partkey, sum(least(ga.n, gb.n)) as n from ga join gb using (p_partkey, g) group by p_partkey)
+select p_partkey, round(2.0 * coalesce(hit.n, 0) / (length(a) + length(b) - 2), 9) as score from p left join hit using (p_partkey)
 """)
 def bigram_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dice similarity of character bigrams (2.16)."""
@@ -361,11 +363,17 @@ def caption_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.caption_pairs(rows)
 
 
-@query("pack_units")
+@query("pack_units", """
+with recursive d as (select doc_id // 20 as doc_id, doc_id as pos, n_chars as size, lang = 'en' as free, row_number() over (partition by doc_id // 20 order by doc_id) as n from documents),
+r as (select doc_id, pos, size, free, n, case when free then 0 else -1 end::bigint as unit, case when free and size >= 1500 then 1 else 0 end::bigint as next, case when free and size < 1500 then size else 0 end::bigint as have from d where n = 1
+  union all select d.doc_id, d.pos, d.size, d.free, d.n, case when d.free then r.next else -1 end, case when not d.free then r.next + (r.have > 0)::int when r.have + d.size >= 1500 then r.next + 1 else r.next end,
+    case when not d.free or r.have + d.size >= 1500 then 0 else r.have + d.size end from r join d on d.doc_id = r.doc_id and d.n = r.n + 1)
+select doc_id, pos, size, free, unit from r
+""")
 def pack_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of a source packed into units of translation (2.7.13)."""
+    """Neighbouring documents packed into units of translation (2.7.13)."""
     d = load(spark, sf_dir, "documents")
-    return sequences.pack_units(d.select(F.pmod(F.xxhash64("doc_id"), F.lit(500)).alias("doc_id"), F.col("doc_id").alias("pos"), F.col("n_chars").alias("size"), (F.col("lang") == "en").alias("free")))
+    return sequences.pack_units(d.select(F.floor(F.col("doc_id") / 20).alias("doc_id"), F.col("doc_id").alias("pos"), F.col("n_chars").alias("size"), (F.col("lang") == "en").alias("free")))
 
 
 @query("fuller_authors", """
@@ -378,10 +386,27 @@ def fuller_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("s_suppkey", F.get(bibliography.fuller_authors(F.array(F.lit("A. Lee")), ours), F.lit(0)).alias("author"))
 
 
-@query("reanchor_quotes")
+_CELLS = "select p_partkey // 40 as doc_id, p_partkey as row, p_name || ' ' || p_brand as text from part"
+
+
+@query("reanchor_quotes", f"""
+with c as (select *, lower(replace(replace(text, ' ', ''), '-', '')) as t from ({_CELLS})),
+a as (select doc_id, row as id, row as old, case when row % 2 = 0 then t else 'xy' || substr(t, 1, 4) || 'q' || substr(t, 6) end as q from c),
+held as (select a.doc_id, a.id, c.row, row_number() over (partition by a.id order by abs(c.row - old), c.row) as n from a join c on a.doc_id = c.doc_id and abs(c.row - old) <= 25 and contains(t, q)),
+rest as (select * from a where id not in (select id from held)),
+j as (select r.id, r.doc_id, c.row, q, t from rest r join c on r.doc_id = c.doc_id and abs(c.row - old) <= 25 and length(t) <= length(q) * 2.5 and length(t) * 2.5 >= length(q)),
+ga as (select id, substr(q, i, 2) as g, count(*) as n from rest, lateral (select unnest(generate_series(1, length(q) - 1)) as i) group by all),
+gc as (select row, substr(t, i, 2) as g, count(*) as n from c, lateral (select unnest(generate_series(1, length(t) - 1)) as i) group by all),
+hit as (select j.id, j.row, sum(least(ga.n, gc.n)) as n from j join ga using (id) join gc on gc.row = j.row and gc.g = ga.g group by all),
+s as (select j.doc_id, j.id, j.row, 2.0 * coalesce(hit.n, 0) / (length(q) + length(t) - 2) as score from j left join hit on hit.id = j.id and hit.row = j.row),
+b as (select *, row_number() over (partition by id order by score desc, row) as n, coalesce(lead(score) over (partition by id order by score desc, row), 0) as second from s)
+select doc_id, id, row, 1.0::double as score, true as sure from held where n = 1
+union all select doc_id, id, row, round(score, 9)::double, score >= 0.75 from b where n = 1 and score >= 0.5 and score - second >= 0.1
+""")
 def reanchor_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quotes of part names found again among their neighbours (2.16)."""
-    p = load(spark, sf_dir, "part")
-    cells = p.select((F.col("p_partkey") % 40).alias("doc_id"), F.col("p_partkey").alias("row"), F.concat_ws(" ", "p_name", "p_brand").alias("text"))
-    anchors = p.select((F.col("p_partkey") % 40).alias("doc_id"), F.col("p_partkey").alias("id"), F.concat_ws("  ", F.upper("p_name"), "p_brand").alias("quote"), F.col("p_partkey").alias("row"))
-    return annotations.reanchor(anchors, cells, 200)
+    """Quotes found again among their neighbours, as they were or slightly changed (2.16)."""
+    cells = relation(spark, sf_dir, _CELLS.replace("p_partkey // 40", "p_partkey div 40"))
+    flat = F.lower(F.regexp_replace("text", "[ -]", ""))
+    quote = F.when(F.col("row") % 2 == 0, F.upper("text")).otherwise(F.concat(F.lit("xy"), F.substring(flat, 1, 4), F.lit("q"), F.substring(flat, F.lit(6), F.length(flat))))
+    anchors = cells.select("doc_id", F.col("row").alias("id"), quote.alias("quote"), "row")
+    return annotations.reanchor(anchors, cells).select("doc_id", "id", "row", F.round("score", 9).alias("score"), "sure")

@@ -187,9 +187,9 @@ def test_captions_pair_once():
 
 def test_merge_keeps_both_sides_and_counts_conflicts():
     base = "a\nb\nc\nd\ne"
-    assert sequences.merge3(base, "A\nb\nc\nd\ne", "a\nb\nc\nd\nE") == ("A\nb\nc\nd\nE", 0)
-    assert sequences.merge3(base, "a\nB\nc\nd\ne", "a\nX\nc\nd\ne") == ("a\nB\nc\nd\ne", 1)
-    assert sequences.merge3(base, "a\nB\nc\nd\ne", "a\nB\nc\nd\ne") == ("a\nB\nc\nd\ne", 0)
+    assert sequences.merge3(base, "A\nb\nc\nd\ne", "a\nb\nc\nd\nE") == ("A\nb\nc\nd\nE", 0, 0)
+    assert sequences.merge3(base, "a\nB\nc\nd\ne", "a\nX\nc\nd\ne") == ("a\nB\nc\nd\ne", 1, 0)
+    assert sequences.merge3(base, "a\nB\nc\nd\ne", "a\nB\nc\nd\ne") == ("a\nB\nc\nd\ne", 0, 0)
 
 
 @settings(max_examples=80, deadline=None)
