@@ -37,16 +37,23 @@ def text_features(docs: DataFrame, text: str = "text") -> DataFrame:
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = docs.withColumns({"_w": words(F.col(text)), "_l": lines})
     df = df.withColumn("_h", _windows(F.col("_w")))
-    window = lambda i: F.slice(F.col("_w"), i + 1, F.lit(WINDOW))
     df = df.withColumn(
         "_s",
         F.when(
             F.size(F.array_distinct("_h")) < F.size("_h"),
-            F.array_sort(F.transform("_h", lambda h, i: F.struct(h.alias("h"), window(i).alias("w"), i.alias("i")))),
+            F.array_sort(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
         ),
     )
-    equal = lambda e, o: F.coalesce((o["h"] == e["h"]) & (o["w"] == e["w"]), F.lit(False))
-    same = lambda e, k: equal(e, F.get(F.col("_s"), k - 1)) | equal(e, F.get(F.col("_s"), k + 1))
+    window = lambda e: F.slice(F.col("_w"), e["i"] + 1, F.lit(WINDOW))
+    meets = lambda e, o: F.coalesce(o["h"] == e["h"], F.lit(False))
+    equal = lambda e, o: meets(e, o) & (window(o) == window(e))
+
+    def same(e: Column, k: Column) -> Column:
+        before, after = F.get(F.col("_s"), k - 1), F.get(F.col("_s"), k + 1)
+        # Only where hashes meet and words do not is another window of that hash looked for.
+        other = (meets(e, before) | meets(e, after)) & F.exists("_s", lambda o: (o["h"] == e["h"]) & (o["i"] != e["i"]) & (window(o) == window(e)))
+        return equal(e, before) | equal(e, after) | other
+
     starts = F.array_sort(F.filter(F.transform("_s", lambda e, k: F.when(same(e, k), e["i"])), lambda x: x.isNotNull()))
     covered = F.aggregate(
         starts,
