@@ -90,7 +90,7 @@ def maybe_in(docs: DataFrame, ids: DataFrame) -> DataFrame:
     shuffle to meet it.
     """
     place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    bit = F.shiftleft(F.lit(1).cast("bigint"), F.pmod(place, F.lit(64)).cast("int"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(place, F.lit(64)).cast("int"))
     word = F.shiftright(place, 6)
     bits = ids.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
     return docs.join(F.broadcast(bits), (word == F.col("_word")) & (F.col("_bits").bitwiseAND(bit) != 0), "left_semi")
