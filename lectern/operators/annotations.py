@@ -41,8 +41,9 @@ def fold(ops: DataFrame, items: DataFrame | None = None, by: str = "doc_id") ->
 
 def document_order(anchors: Column) -> Column:
     """Row and start of the original's anchor, else of the first."""
-    original = F.get(F.filter(anchors, lambda a: a["side"] == "en"), F.lit(0))
-    return F.coalesce(F.struct(original["row"], original["start"]), F.struct(F.get(anchors, F.lit(0))["row"], F.get(anchors, F.lit(0))["start"]))
+    first = F.get(anchors, F.lit(0))
+    original = F.coalesce(F.get(F.filter(anchors, lambda a: a["side"] == "en"), F.lit(0)), first)
+    return F.struct(original["row"].alias("row"), original["start"].alias("start"))
 
 
 def one_anchor_a_side(anchors: Column, most: int = 2) -> Column:
