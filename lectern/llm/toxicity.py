@@ -1,8 +1,9 @@
-"""Toxicity by weak supervision: voters, a generative label model, a linear classifier."""
+"""Toxicity by weak supervision: voters of several kinds, a generative label model with pair potentials, a linear classifier."""
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -11,20 +12,33 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
-
-#: Labelled rows that the lexicon is learned from, and rows that the classifier
-#: is fitted on, both the first by a hash of doc_id; terms of the lexicon.
-MOST_LABELLED, MOST_FIT, MOST_TERMS = 20_000, 20_000, 400
-#: A seed lexicon of common insults.
-SEED = ("idiot", "idiots", "imbecile", "moron", "moronic", "stupid", "dumb", "scum", "trash", "loser", "clown", "pathetic", "worthless", "disgusting")
+from .common import join_small, materialize
+
+#: Parameters of the classifier and its lexicon: rows that it is fitted on, the first by a hash of doc_id; terms of the lexicon, the best by odds
+#: and support; buckets that words are hashed to.  Every word counts through its bucket, in the lexicon or not.
+MOST_FIT, MOST_TERMS, BUCKETS = 20_000, 20_000, 2048
+#: Labels that are broadcast at most (12 bytes each); beyond that texts shuffle to meet them.
+MOST_BROADCAST = 1_000_000
+#: Common insults by language.
+INSULTS = {
+    "english": "idiot idiots imbecile moron moronic stupid dumb dumbass scum trash loser losers clown pathetic worthless disgusting jerk bastard bitch asshole retard scumbag",
+    "german": "idiot idioten trottel depp dumm dummkopf arschloch schwachkopf abschaum versager miststück wichser drecksau vollidiot hurensohn",
+    "french": "idiot idiote imbécile crétin connard connasse salaud salope débile abruti ordure enculé minable raclure",
+    "spanish": "idiota imbécil estúpido estúpida tonto cabrón gilipollas basura escoria payaso inútil pendejo puta mierda",
+}
+SECOND = frozenset("you your yours youre u du dich dir dein deine ihr euch tu te toi ton ta vous votre tú ti eres usted vosotros".split())
 #: Prefix lengths of pattern terms, written `prefix*`.
 PREFIXES = (5, 6, 7, 8)
-WORD_VOTERS, PATTERN_VOTERS = 6, 4
+#: The voters, in the order of their bits: lexicons by language, learned words by their log odds, learned prefixes by length, an insult near the
+#: second person, an insult said three times, an insult with letters masked, shouting, and one per cent of insults.
+VOTERS = (*INSULTS, "strong", "medium", "weak", "stems", "long stems", "address", "repeated", "masked", "shout", "density")
+STRONG, MEDIUM, LEAST = float(np.log(30)), float(np.log(15)), float(np.log(8))
 THRESHOLD = 0.3
-#: Weight of a voter's silence: a text in one language is no evidence for words of another.
-SILENCE = 0.85
+#: Bounds of a person's chance to call a clean and a toxic text toxic.
+ERRS = ((0.001, 0.9), (0.02, 0.999))
 _WORD = re.compile(r"[^\W\d_]+")
+_MASKED = re.compile(r"[^\W\d_]+[0-9@$!*][\w@$!*]*")
+_PLAIN = str.maketrans("0134567@$!", "oieasgtasi")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -39,10 +53,10 @@ def terms_of(word: str) -> list[str]:
 def learn_lexicon(rows: DataFrame) -> list[tuple[str, float]]:
     """Terms that mark toxic texts, best first: (term, log odds).
 
-    rows: text and toxic of at most MOST_LABELLED documents.  A term is a word
-    or a prefix; it needs five toxic documents and odds eight times those of
-    clean ones.  Tasks count their own documents first; MOST_TERMS rows reach
-    the driver.
+    rows: text and toxic of all documents with a label.  A term is a word or a
+    prefix; it needs five toxic documents and odds eight times those of clean
+    ones.  Tasks count their own documents first; at most MOST_TERMS rows
+    reach the driver.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,8 +64,14 @@ def learn_lexicon(rows: DataFrame) -> list[tuple[str, float]]:
         for b in batches:
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 seen[toxic].update({t for w in set(_WORD.findall((text or "").lower())) for t in terms_of(w)})
+                if len(seen[toxic]) > 1_000_000:
+                    yield part(toxic, seen[toxic])
+                    seen[toxic].clear()
         for toxic, c in seen.items():
-            yield pa.RecordBatch.from_pydict({"term": list(c), "toxic": [toxic] * len(c), "n": list(c.values())}, schema=schema)
+            yield part(toxic, c)
+
+    def part(toxic: int, c: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"term": list(c), "toxic": [toxic] * len(c), "n": list(c.values())}, schema=schema)
 
     schema = pa.schema([("term", pa.string()), ("toxic", pa.int32()), ("n", pa.int64())])
     of = lambda x: F.sum(F.when(F.col("toxic") == x, F.col("n")).otherwise(0))
@@ -59,118 +79,202 @@ def learn_lexicon(rows: DataFrame) -> list[tuple[str, float]]:
     odds = lambda n, x: (F.col(n) + 0.5) / (total.get(x, 0) + 1)
     counted = rows.mapInArrow(count, "term string, toxic int, n bigint").groupBy("term").agg(of(1).alias("bad"), of(0).alias("good"))
     log_odds = F.log(odds("bad", 1) / odds("good", 0))
-    best = counted.where(F.col("bad") >= 5).withColumn("odds", log_odds).where(F.col("odds") >= float(np.log(8)))
+    best = counted.where(F.col("bad") >= 5).withColumn("odds", log_odds).where(F.col("odds") >= LEAST)
     best = best.orderBy(F.desc(F.col("odds") * F.sqrt("bad")), "term").limit(MOST_TERMS)
     return [(r.term, r.odds) for r in best.collect()]
 
 
-def count_terms(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """doc_id, n_words and the lexicon terms in each whole text: term (index) and n (times), parallel arrays."""
-    index = {t: i for i, t in enumerate(terms)}
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("term", pa.list_(pa.int32())), ("n", pa.list_(pa.int32()))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[int, ...]] = {}
-        for b in batches:
-            size, term, times = [], [], []
-            for text in b.column(1).to_pylist():
-                found = _WORD.findall((text or "").lower())
-                hits: Counter[int] = Counter()
-                for w in found:
-                    at = known.get(w)
-                    if at is None:
-                        if len(known) > 400_000:
-                            known.clear()
-                        known[w] = at = tuple(index[t] for t in terms_of(w) if t in index)
-                    if at:
-                        hits.update(at)
-                size.append(len(found))
-                term.append(sorted(hits))
-                times.append([hits[i] for i in sorted(hits)])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(term, schema.field(2).type), pa.array(times, schema.field(3).type)], schema=schema)
-
-    return docs.mapInArrow(run, "doc_id bigint, n_words bigint, term array<int>, n array<int>")
-
-
-def votes(terms: list[str]) -> list[Column]:
-    """Voters over the output of count_terms, one boolean each.
-
-    Lexicon voters fire if a text has one of their words, pattern voters if it
-    has words of their prefixes twice; terms are dealt to them in turn.  A
-    density voter fires if lexicon words make up one per cent of the text.
+class Voters(dict):
+    """Votes on texts as bits; what a word says is remembered up to a bound: (language bits, tier, short stems, long stems)."""
+
+    def __init__(self, learned: list[tuple[str, float]]):
+        super().__init__()
+        self.odds = dict(learned)
+        self.lists = [frozenset(words.split()) for words in INSULTS.values()]
+        self.curated = frozenset().union(*self.lists)
+
+    def __missing__(self, word: str) -> tuple[int, int, int, int]:
+        if len(self) > 400_000:
+            self.clear()
+        said = self.odds.get(word, 0.0)
+        tier = 3 if said >= STRONG else 2 if said >= MEDIUM else 1 if said >= LEAST else 0
+        stems = [word[:k] + "*" in self.odds for k in PREFIXES if len(word) > k] + [False] * 4
+        self[word] = found = (sum(1 << i for i, words in enumerate(self.lists) if word in words), tier, int(any(stems[:2])), int(any(stems[2:])))
+        return found
+
+    def _masked(self, text: str) -> bool:
+        for m in _MASKED.finditer(text.lower()):
+            plain = m.group(0).translate(_PLAIN)
+            if plain in self.curated or "*" in plain and any(re.fullmatch(re.escape(plain).replace(r"\*", "."), w) for w in self.curated if len(w) == len(plain)):
+                return True
+        return False
+
+    def mask(self, text: str | None) -> int:
+        """The voters that fire, one bit each."""
+        text = text or ""
+        words = _WORD.findall(text.lower())
+        said = [self[w] for w in words]
+        lists, tiers, short, long_, at = 0, [0, 0, 0, 0], 0, 0, []
+        for i, (a, tier, b, c) in enumerate(said):
+            if a or tier or b or c:
+                lists |= a
+                tiers[tier] += 1
+                short, long_ = short + b, long_ + c
+                if a or tier == 3:
+                    at.append(i)
+        near = any(w in SECOND for i in at for w in words[max(i - 3, 0) : i + 4])
+        most = max(Counter(words[i] for i in at).values(), default=0)
+        loud = len(words) >= 5 and "!" in text and 2 * len(re.findall("[A-ZÀ-Þ]", text)) > len(text)
+        fired = (tiers[3] > 0, tiers[2] > 0, tiers[1] > 1, short > 1, long_ > 1, near, most > 2, self._masked(text), loud, len(at) * 100 >= max(len(words), 1))
+        return lists | sum(1 << (len(self.lists) + k) for k, yes in enumerate(fired) if yes)
+
+
+def buckets(text: str | None) -> list[int]:
+    """Buckets of a text's distinct words."""
+    return sorted({zlib.crc32(w.encode()) % BUCKETS for w in set(_WORD.findall((text or "").lower()))})
+
+
+def _states(voters: int, pairs: list[tuple[int, int]]) -> np.ndarray:
+    """All vote patterns, and behind each its pairs that both fire."""
+    bits = (np.arange(1 << voters)[:, None] >> np.arange(voters) & 1).astype(float)
+    return with_pairs(bits, pairs)
+
+
+def with_pairs(fired: np.ndarray, pairs: list[tuple[int, int]]) -> np.ndarray:
+    return np.hstack([fired, *[fired[:, [j]] * fired[:, [k]] for j, k in pairs]])
+
+
+def fit_class(mean: np.ndarray, start: np.ndarray, states: np.ndarray, ridge: float, steps: int = 30) -> tuple[np.ndarray, float]:
+    """Potentials under which patterns have the given mean statistics, and the logarithm of their normaliser.
+
+    Newton's method on the concave likelihood; a step that doesn't raise it is
+    halved.
     """
-    out = []
-    for many, pattern, least in ((WORD_VOTERS, False, 1), (PATTERN_VOTERS, True, 2)):
-        own = [i for i, t in enumerate(terms) if t.endswith("*") == pattern]
-        for k in range(many):
-            mine = F.lit(own[k::many]).cast("array<int>")
-            times = F.aggregate(_times(mine), F.lit(0), lambda a, x: a + x)
-            out.append(times >= least)
-    return [*out, F.aggregate("n", F.lit(0), lambda a, x: a + x) * 100 >= F.greatest(F.col("n_words"), F.lit(1))]
-
-
-def _times(mine: Column) -> Column:
-    return F.zip_with("term", "n", lambda t, n: F.when(F.array_contains(mine, t), n).otherwise(F.lit(0)))
-
 
-def fit_label_model(fired: np.ndarray, label: np.ndarray, weight: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, dict]:
+    def likelihood(w: np.ndarray) -> tuple[float, np.ndarray, float]:
+        score = states @ w
+        top = score.max()
+        p = np.exp(score - top)
+        z = float(top + np.log(p.sum()))
+        return float(mean @ w) - z - ridge / 2 * float(w @ w), p / p.sum(), z
+
+    w = start
+    have, p, z = likelihood(w)
+    for _ in range(steps):
+        now = p @ states
+        slope = mean - now - ridge * w
+        hess = (states * p[:, None]).T @ states - np.outer(now, now) + (ridge + 1e-6) * np.eye(len(w))
+        step, share = np.linalg.solve(hess, slope), 1.0
+        while share > 1e-4:
+            got, q, y = likelihood(w + share * step)
+            if got >= have:
+                break
+            share /= 2
+        if share <= 1e-4:
+            break
+        w, gain, have, p, z = w + share * step, got - have, got, q, y
+        if gain < 1e-9:
+            break
+    return w, z
+
+
+def dependent(fired: np.ndarray, weights: tuple[np.ndarray, np.ndarray], most: int = 24, least: float = 0.1) -> list[tuple[int, int]]:
+    """Pairs of voters that are correlated within a class, the strongest `most`."""
+    strength: dict[tuple[int, int], float] = {}
+    for w in weights:
+        if w.sum() < 1:
+            continue
+        rate = w @ fired / w.sum()
+        centred = fired - rate
+        cov = (centred * w[:, None]).T @ centred / w.sum()
+        dev = np.sqrt(np.maximum(np.diag(cov), 1e-9))
+        rho = np.abs(cov / dev[:, None] / dev[None, :])
+        for j in range(len(rate)):
+            for k in range(j + 1, len(rate)):
+                if rho[j, k] >= least:
+                    strength[j, k] = max(strength.get((j, k), 0.0), float(rho[j, k]))
+    return sorted(sorted(strength, key=lambda e: (-strength[e], e))[:most])
+
+
+def fit_label_model(fired: np.ndarray, label: np.ndarray, weight: np.ndarray, rounds: int = 40, joint: int = 8) -> tuple[np.ndarray, dict]:
     """Generative label model over vote patterns: posterior of label 1 for each pattern, and its estimates.
 
     fired: patterns x voters (0 or 1); label: a person's label of the pattern's
     rows (1, 0, or -1 for none), itself a voter that may err; weight: rows.
-    Expectation maximisation estimates each voter's rates of firing on both
-    classes.  Correlations of voters within a class are then estimated from
-    the posteriors, and in the posterior that is returned a voter counts in
-    inverse proportion to how much others repeat it.
+    Within a class patterns have a potential for each voter and for each pair
+    of dependent voters.  Expectation maximisation starts from independent
+    voters; pairs that are then correlated within a class get potentials of
+    their own, estimated with the others from exact sums over all patterns, so
+    what one voter repeats of another is not counted twice.
     """
+    fired = fired.astype(float)
+    voters, total = fired.shape[1], max(weight.sum(), 1e-9)
     known = label >= 0
-    start = np.where(known, np.clip(label, 0.02, 0.98), np.where(fired.any(1), 0.5, 0.02))
-    share, post = np.ones(fired.shape[1]), start
+    post = np.where(known, np.clip(label, 0.02, 0.98), np.where(fired.any(1), 0.5, 0.02))
     human = np.array([0.02, 0.98])
-    for r in range(rounds + 1):
+
+    def prior_and_human() -> float:
+        nonlocal human
         w1, w0 = weight * post, weight * (1 - post)
-        prior = np.clip(w1.sum() / max(weight.sum(), 1e-9), 1e-3, 0.5)
-        rate = np.stack([(w0 @ fired + 0.1) / (w0.sum() + 1), (w1 @ fired + 0.5) / (w1.sum() + 1)])
-        rate[1] = np.maximum(rate[1], rate[0])  # a voter never speaks for the clean class by firing
         if known.any():
-            k1, k0 = (w1 * known), (w0 * known)
-            human = np.clip([(k0 @ (label == 1) + 0.02) / (k0.sum() + 1), (k1 @ (label == 1) + 0.98) / (k1.sum() + 1)], 0.005, 0.995)
-        if r == rounds:
-            share = 1 / (1 + _repeated(fired, weight * post, rate[1]) / 2 + _repeated(fired, weight * (1 - post), rate[0]) / 2)
-        said = np.where(fired == 1, np.log(rate[1] / rate[0]), SILENCE * np.log((1 - rate[1]) / (1 - rate[0])))
-        logit = np.log(prior / (1 - prior)) + said @ share
-        logit = logit + np.where(label == 1, np.log(human[1] / human[0]), np.where(label == 0, np.log((1 - human[1]) / (1 - human[0])), 0))
-        post = 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
-    return post, {"prior": prior, "rates": rate, "human": human, "share": share}
-
-
-def _repeated(fired: np.ndarray, weight: np.ndarray, rate: np.ndarray) -> np.ndarray:
-    """Sum of each voter's positive correlations with the others within one class."""
-    if weight.sum() < 1:
-        return np.zeros(fired.shape[1])
-    centred = fired - rate
-    cov = (centred * weight[:, None]).T @ centred / weight.sum()
-    dev = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-    rho = np.clip(cov / dev[:, None] / dev[None, :], 0, 1)
-    return rho.sum(1) - np.diag(rho)
-
-
-def fit_classifier(x: np.ndarray, soft: np.ndarray, ridge: float = 0.1, rounds: int = 25) -> np.ndarray:
-    """Logistic regression on posterior labels by Newton's method: a weight for each column of x, whose last one is constant."""
-    w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
-    penalty[-1] = 1e-3
+            k1, k0 = w1 * known, w0 * known
+            human = np.clip([(k0 @ (label == 1) + 0.02) / (k0.sum() + 1), (k1 @ (label == 1) + 0.98) / (k1.sum() + 1)], *ERRS)
+        return float(np.clip(w1.sum() / total, 1e-3, 0.5))
+
+    def posterior(evidence: np.ndarray, prior: float) -> np.ndarray:
+        said = np.where(label == 1, np.log(human[1] / human[0]), np.where(label == 0, np.log((1 - human[1]) / (1 - human[0])), 0))
+        return 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + evidence + said, -40, 40)))
+
+    def smoothed(w: np.ndarray, x: np.ndarray, toxic: bool) -> np.ndarray:
+        return (w @ x + (0.5 if toxic else 0.1)) / (w.sum() + 1)
+
     for _ in range(rounds):
-        g, h = penalty * w, np.diag(penalty)
-        for at in range(0, len(x), 2048):
-            part = x[at : at + 2048].astype(float)
-            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
-            g += part.T @ (p - soft[at : at + 2048])
-            h += (part * (p * (1 - p))[:, None]).T @ part
-        step = np.linalg.solve(h, g)
-        w = w - step
-        if np.abs(step).max() < 1e-6:
-            break
-    return w
+        prior = prior_and_human()
+        rate = np.stack([smoothed(weight * (1 - post), fired, False), smoothed(weight * post, fired, True)])
+        rate[1] = np.maximum(rate[1], rate[0])  # a voter never speaks for the clean class by firing
+        post = posterior(np.where(fired == 1, np.log(rate[1] / rate[0]), np.log((1 - rate[1]) / (1 - rate[0]))).sum(1), prior)
+    pairs = dependent(fired, (weight * (1 - post), weight * post))
+    if pairs:
+        states, x = _states(voters, pairs), with_pairs(fired, pairs)
+        logit = lambda r: np.concatenate([np.log(r / (1 - r)), np.zeros(len(pairs))])
+        w0, w1 = logit(rate[0]), logit(rate[1])
+        for _ in range(joint):
+            prior = prior_and_human()
+            (w0, z0), (w1, z1) = (fit_class(smoothed(w, x, toxic), start, states, 1e-4) for w, start, toxic in ((weight * (1 - post), w0, False), (weight * post, w1, True)))
+            post = posterior(x @ (w1 - w0) - (z1 - z0), prior)
+    return post, {"prior": prior, "rates": rate, "human": human, "pairs": pairs}
+
+
+def fit_classifier(rows: list[np.ndarray], dense: np.ndarray, soft: np.ndarray, ridge: float = 0.5, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """Logistic regression on posterior labels: weights of buckets and of the columns of dense, whose last one is constant.
+
+    rows: the buckets of each text, which weigh one over the root of their
+    number.  Gradient steps are scaled by the diagonal of the Hessian and carry
+    momentum.
+    """
+    size = np.array([len(r) for r in rows], dtype=np.int64)
+    flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+    of, scale = np.repeat(np.arange(len(rows)), size), 1 / np.sqrt(np.maximum(size, 1))
+    w, v = np.zeros(BUCKETS), np.zeros(dense.shape[1])
+    mw, mv = np.zeros_like(w), np.zeros_like(v)
+    few = np.full(dense.shape[1], ridge)
+    few[-1] = 1e-3
+    for k in range(rounds):
+        score = np.bincount(of, weights=w[flat], minlength=len(rows)) * scale + dense @ v
+        p = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
+        off, bend = p - soft, np.maximum(p * (1 - p), 1e-3)
+        gw = np.bincount(flat, weights=(off * scale)[of], minlength=BUCKETS) + 20 * ridge * w
+        hw = np.bincount(flat, weights=(bend * scale**2)[of], minlength=BUCKETS) + 20 * ridge
+        gv = dense.T @ off + few * v
+        hv = (dense * bend[:, None]).T @ dense + np.diag(few)
+        rate = 0.5 if k < rounds // 2 else 0.25
+        mw, mv = 0.5 * mw - rate * gw / hw, 0.5 * mv - rate * np.linalg.solve(hv, gv)
+        w, v = w + mw, v + mv
+    return w, v
+
+
+def _bits(mask: np.ndarray) -> np.ndarray:
+    return (mask[:, None] >> np.arange(len(VOTERS)) & 1).astype(float)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -179,40 +283,65 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text
     labels: doc_id and toxic; null labels are ignored, a document labelled
     several times is toxic if any label says so.  Lexicon, label model and
     classifier see only rows that are not held out.  The lexicon is learned
-    from at most MOST_LABELLED labelled rows and the classifier fitted on at
-    most MOST_FIT; the label model counts the vote patterns of all rows and
-    every row is scored.  Score is the classifier's probability from how often
-    each term occurs, so empty and null texts get the same low score.
-    Without labels the seed lexicon votes alone.
+    from all labelled rows, the label model counts the vote patterns of all
+    rows, the classifier is fitted on at most MOST_FIT rows, and every row is
+    scored.  Score is the classifier's probability from a text's voters and
+    hashed words, so null and empty texts get the same low score; texts of any
+    length are read whole, rows that repeat are scored one by one, a score of
+    exactly THRESHOLD is predicted.  Without labels the curated lexicons and
+    patterns vote alone; without rows the result is empty; further columns are
+    not read.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(~held_out(F.col("doc_id")))
-    known = materialize(known, "toxic-labels")
-    sample = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED))
-    learned = learn_lexicon(rows.join(sample, "doc_id").select("text", "toxic"))
-    terms = list(dict.fromkeys([*[t for t, _ in learned], *SEED]))
-
-    counted = materialize(count_terms(rows, terms), "term-counts")
-    voted = votes(terms)
-    train = counted.where(~held_out(F.col("doc_id"))).join(known, "doc_id", "left").withColumn("toxic", F.coalesce("toxic", F.lit(-1)))
-    names = [f"v{i}" for i in range(len(voted))]
-    train = train.select("doc_id", "term", "n", "n_words", "toxic", *[v.cast("int").alias(c) for v, c in zip(voted, names, strict=True)])
-    patterns = train.groupBy(*names, "toxic").agg(F.count(F.lit(1)).alias("rows")).orderBy(*names, "toxic").collect()
-    table = np.array([list(p) for p in patterns], dtype=np.int64).reshape(len(patterns), len(names) + 2)
-    post, _ = fit_label_model(table[:, :-2], table[:, -2], table[:, -1].astype(float)) if len(table) else (np.zeros(0), {})
-    soft = {tuple(row[:-1]): p for row, p in zip(table.tolist(), post.tolist(), strict=True)}
-
-    fit = train.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_FIT).select("term", "n", F.array(*names, "toxic").alias("pattern"))
-    x, y = np.zeros((MOST_FIT, len(terms) + 1), dtype=np.float32), np.zeros(MOST_FIT)
-    x[:, -1], used = 1, 0
+    known = materialize(known, "toxic-labels").withColumnRenamed("doc_id", "l_")
+    same = F.col("doc_id") == F.col("l_")
+    learned = learn_lexicon(join_small(rows, known, same, "inner", MOST_BROADCAST).select("text", "toxic"))
+    lexicon = spark.sparkContext.broadcast(learned)
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        voters = Voters(lexicon.value)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([voters.mask(t) for t in b.column(1).to_pylist()], pa.int64())], ["doc_id", "mask"])
+
+    voted = materialize(rows.mapInArrow(vote, "doc_id bigint, mask bigint"), "toxic-votes")
+    train = voted.where(~held_out(F.col("doc_id"))).join(known, same, "left").select("doc_id", "mask", F.coalesce("toxic", F.lit(-1)).alias("toxic"))
+    patterns = train.groupBy("mask", "toxic").agg(F.count(F.lit(1)).alias("rows")).orderBy("mask", "toxic").collect()
+    table = np.array([list(p) for p in patterns], dtype=np.int64).reshape(len(patterns), 3)
+    post, _ = fit_label_model(_bits(table[:, 0]), table[:, 1], table[:, 2].astype(float)) if len(table) else (np.zeros(0), {})
+    soft = {(int(m), int(t)): p for (m, t, _), p in zip(table.tolist(), post.tolist(), strict=True)}
+
+    # The rows of the fit, with null ids last of all: an id stands for one of its texts.
+    chosen = train.where("doc_id is not null").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_FIT)
+    chosen = materialize(chosen, "toxic-fit").withColumnRenamed("doc_id", "c_")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([buckets(t) for t in b.column(3).to_pylist()], pa.list_(pa.int16()))], ["c_", "mask", "toxic", "words"])
+
+    fit = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("c_")).select("c_", "mask", "toxic", "text").mapInArrow(hashed, "c_ bigint, mask bigint, toxic int, words array<smallint>")
+    fit = materialize(fit, "toxic-features").orderBy(F.xxhash64("c_"), "c_", "mask", F.size("words"), F.hash("words"))
+    words, masks, goal = [], [], []
     for r in fit.toLocalIterator():
-        x[used, r.term] = 1 + np.log(r.n)
-        y[used] = soft[tuple(r.pattern)]
-        used += 1
-    w = fit_classifier(x[:used], y[:used]) if used else np.zeros(len(terms) + 1)
-
-    weights = F.lit([float(v) for v in w[:-1]]).cast("array<double>")
-    logit = F.aggregate(F.zip_with("term", "n", lambda t, n: F.get(weights, t) * (1 + F.log(n.cast("double")))), F.lit(float(w[-1])), lambda a, v: a + v)
-    score = 1 / (1 + F.exp(-F.least(F.greatest(logit, F.lit(-40.0)), F.lit(40.0))))
-    scored = counted.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+        if len(words) < MOST_FIT and (r.mask, r.toxic) in soft:
+            words.append(np.array(r.words, dtype=np.int16))
+            masks.append(r.mask)
+            goal.append(soft[r.mask, r.toxic])
+    dense = np.hstack([_bits(np.array(masks, dtype=np.int64)), np.ones((len(masks), 1))])
+    model = fit_classifier(words, dense, np.array(goal)) if words else (np.zeros(BUCKETS), np.append(np.full(len(VOTERS), 1.0), -4.0))
+    held = spark.sparkContext.broadcast((learned, *model))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learned, weights, own = held.value
+        voters = Voters(learned)
+        for b in batches:
+            out = []
+            for t in b.column(1).to_pylist():
+                found, mask = buckets(t), voters.mask(t)
+                logit = own[-1] + sum(own[k] for k in range(len(VOTERS)) if mask >> k & 1) + (weights[found].sum() / len(found) ** 0.5 if found else 0.0)
+                out.append(1 / (1 + np.exp(-min(max(logit, -40.0), 40.0))))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], ["doc_id", "score"])
+
+    scored = rows.mapInArrow(score, "doc_id bigint, score double")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
