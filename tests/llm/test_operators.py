@@ -143,7 +143,35 @@ def test_label_model_finds_rates_of_voters():
     pat, inverse, n = np.unique(fired, axis=0, return_inverse=True, return_counts=True)
     post, est = toxicity.fit_label_model(pat, np.full(len(pat), -1), n.astype(float))
     assert ((post[inverse.ravel()] > 0.5) == y).mean() > best - 0.02
-    assert est["share"][0] < est["share"][1]
+    assert (0, 3) in est["pairs"]
+
+
+def test_potentials_give_the_statistics_of_their_class():
+    rng = np.random.default_rng(2)
+    x = rng.random((5000, 4)) < 0.3
+    x[:, 1] |= x[:, 0] & (rng.random(5000) < 0.7)
+    pairs = [(0, 1), (2, 3)]
+    mean = toxicity.with_pairs(x.astype(float), pairs).mean(0)
+    states = toxicity._states(4, pairs)
+    w, z = toxicity.fit_class(mean, np.zeros(6), states, 1e-9, 40)
+    p = np.exp(states @ w - z)
+    assert abs(p.sum() - 1) < 1e-9 and np.abs(p @ states - mean).max() < 1e-6
+
+
+def test_voters_of_every_kind():
+    v = toxicity.Voters([("zorkle", 4.0), ("blap", 3.0), ("snib", 2.2), ("gromm*", 2.5), ("grommxx*", 2.5)])
+    said = lambda t: {n for k, n in enumerate(toxicity.VOTERS) if v.mask(t) >> k & 1}
+    assert said("you are an idiot") >= {"english", "german", "french", "address"} and said("ein Trottel ist hier weit und breit " * 1) >= {"german"}
+    assert said("zorkle") >= {"strong", "density"} and said("blap word") >= {"medium"} and "weak" in said("snib or snib again") and "weak" not in said("one snib")
+    assert said("grommit and grommer") == {"stems"} and "long stems" in said("grommxxab grommxxcd") and "masked" in said("what an id1ot") and "masked" in said("m*ron")
+    assert "repeated" in said("scum scum and scum") and "shout" in said("ALL OF THIS IS LOUD NOW!") and said("") == said(None) == set() and said("a clean text 4you") == set()
+
+
+def test_every_label_counts_for_the_lexicon(spark):
+    """Terms that only labels beyond any bound of the fit have are learned."""
+    rows = [(i, f"grblx{i % 7} vile{i % 3}word here" if i % 4 == 0 else f"fine text {i % 50}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("toxic", F.when(F.col("doc_id") % 4 == 0, 1).otherwise(0))
+    assert {t for t, _ in toxicity.learn_lexicon(docs.select("text", "toxic"))} >= {"grblx", "vile"} | {"grblx"[:5]} - {"grblx"}
 
 
 # --- 3: decontamination
@@ -282,6 +310,14 @@ def test_tokens_against_the_tokenizer(spark, docs):
         assert [c.text(x)[0] for x in texts] == [len(t.encode(x, add_special_tokens=False).ids) for x in texts]
 
 
+def test_joined_vocabulary_gives_the_same_counts(spark, docs, edge):
+    pieces = tokens.vocabulary(Q.UNIGRAM)[3:4000]
+    table = spark.createDataFrame(pieces, "piece string, score double")
+    for df in (docs.limit(40), edge, spark.createDataFrame([(1, "▁a  b▁▁c 𝒳é "), (2, " ")], "doc_id bigint, text string")):
+        one = sorted((str(r.doc_id), r.n_tokens, round(r.score, 6)) for r in tokens.token_counts(df, pieces).collect())
+        assert sorted((str(r.doc_id), r.n_tokens, round(r.score, 6)) for r in tokens.token_counts(df, table).collect()) == one
+
+
 def test_token_ties_and_edges(edge, none):
     c = tokens.Counter([("▁", -1.0), ("a", -1.0), ("aa", -2.0), ("▁a", -2.0), ("x", -9.0)])
     assert c.search("▁aa") == (2, -3.0)  # of equal sums the longest last piece: ▁ and aa, not ▁a and a
