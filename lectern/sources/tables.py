@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -25,10 +26,18 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def relation(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """A relation given as SQL over the tables of a folder; only those it names are read."""
+    """A relation given as SQL over the tables of a folder; only those it names after `from` or `join` are read.
+
+    Each folder's tables have views of their own, so relations over several
+    folders live side by side in a session.
+    """
+    key = hashlib.md5(sf_dir.encode()).hexdigest()[:8]
     for name in TABLES:
-        if re.search(rf"\b{name}\b", sql):
-            load(spark, sf_dir, name).createOrReplaceTempView(name)
+        place = rf"(?i)\b(from|join)(\s+){name}\b"
+        if re.search(place, sql):
+            view = f"{name}_{key}"
+            load(spark, sf_dir, name).createOrReplaceTempView(view)
+            sql = re.sub(place, rf"\1\2{view}", sql)
     return spark.sql(sql)
 
 

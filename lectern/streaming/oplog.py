@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+#: Items that a document's state holds at most, the newest ones.
+MOST_ITEMS = 2000
 OUT = "doc_id bigint, id bigint, item string, created double, applied double"
 STATE = "applied double, ids array<bigint>, items array<string>, created array<double>"
 
@@ -16,8 +18,9 @@ def fold_stream(ops: DataFrame) -> DataFrame:
     """Fold put and del operations of each document as they arrive: its live items after every batch.
 
     ops: doc_id, ts (seconds), op, id, item.  State holds a document's live
-    items and its high-water mark; an operation not newer than the mark is
-    late and dropped, as in a batch fold from that mark.
+    items, the MOST_ITEMS newest, and its high-water mark, which is each
+    document's own watermark: an operation not newer than it is late and
+    dropped, as in a batch fold from that mark.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -31,6 +34,7 @@ def fold_stream(ops: DataFrame) -> DataFrame:
             else:
                 live[i] = (item, live[i][1] if i in live else ts)
             applied = max(applied, ts)
+        live = dict(sorted(live.items(), key=lambda x: x[1][1])[-MOST_ITEMS:])
         state.update((applied, list(live), [x for x, _ in live.values()], [c for _, c in live.values()]))
         yield pd.DataFrame([(key[0], i, x, c, applied) for i, (x, c) in live.items()], columns=["doc_id", "id", "item", "created", "applied"])
 
@@ -41,6 +45,7 @@ def breaker_stream(calls: DataFrame, trips: int = 3, pause: float = 20.0) -> Dat
     """Circuit breaker a source: rows where it opens, with the time until which it stays open.
 
     calls: source, ts (seconds), failed.  `trips` failures in a row open it.
+    The state is two numbers a source.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
