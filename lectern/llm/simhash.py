@@ -320,7 +320,8 @@ def similar(docs: DataFrame, pairs: DataFrame, seed: int = 42) -> DataFrame:
             sets = [b"".join(h.tobytes() for h in shingle_hashes(t or b"", SHINGLE, seed, True)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["doc_id", "set"])
 
-    sets = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text").mapInArrow(run, "doc_id bigint, set binary")
+    one = docs.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    sets = one.mapInArrow(run, "doc_id bigint, set binary")
     sets = materialize(sets, "shingle-sets")
 
     @F.pandas_udf("double")
@@ -346,9 +347,11 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     in a thousand pairs at 0.8, fewer above and more among texts of a few
     dozen words, whose minhashes repeat.  Texts with equal sets
     of shingles are one node; stars connect dense groups before the search
-    asks for links between groups.  Null and empty texts are alike; an id that
-    repeats is one document, known by any of its texts; null ids are never
-    linked.
+    asks for links between groups.  Null and empty texts are alike, texts of
+    any length are read whole; an id that repeats is one document, compared by
+    the least of its texts; null ids are never linked.  A similarity of exactly
+    SIMILARITY links.  Without rows the result is empty; further columns are
+    not read.
     """
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("binary").alias("text"))
     prints = materialize(near_prints(rows, seed), "near-prints")
