@@ -211,6 +211,62 @@ def ordered_front(text: str) -> str:
     return joined([parts[0], *authors, *notes, *rest, *parts[body:]], text)
 
 
+NUMBERED = re.compile(r"(?i)#{1,6}\s+(\d|[ivx]+[.)]\s|introduction\b)")
+META = re.compile(r"(?i)[#*_\s]*(keywords|index terms|ccs concepts|categories|general terms|acm reference format|additional key words)\b")
+MARKER = re.compile(r"(?i)[#*_\s]*(abstract|초록)\b[\s*_:.\-–—]*")
+LEAST, LEAST_MARKED, WIDEST = 150, 40, 6000
+
+
+def _words_only(block: str) -> str:
+    """A block without markup, on one line."""
+    text = re.sub(r"!?\[([^\]]*)\]\([^)]*\)|<[^>]+>", r"\1", block)
+    return " ".join(re.sub(r"[*_`]+|^#{1,6}\s+", "", text).split())
+
+
+def abstract_of(text: str) -> str:
+    """A document's abstract as plain text, empty if none is found.
+
+    What follows its mark counts first, over paragraphs that a page's end has
+    split; else the longest paragraph before the first numbered section that
+    is neither a contact, a notice nor below a heading of keywords.  A notice
+    at its end is cut off.
+    """
+    parts = blocks_of(text)
+    parts = parts[1:] if parts and HEADING.match(parts[0]) and not MARKER.match(parts[0]) else parts
+    stop = next((i for i, b in enumerate(parts) if NUMBERED.match(b)), None)
+    region = parts[:stop] if stop is not None else []
+    for b in parts if stop is None else []:
+        if sum(map(len, region)) < WIDEST:
+            region.append(b)
+    noise = lambda b: is_contact(b) or bool(BOILERPLATE.match(b)) or b.lstrip().startswith(("!", "|", "```", "<", "-", "- "))
+    open_ = lambda t: bool(t) and t[-1] not in ".!?:…\"”)"
+    end = lambda t: re.split(r"(?i)\s+(?=permission to make|copyright ©|© ?\d{4}|\(c\) \d{4})", t)[0].strip()
+    marked = ""
+    for i, b in enumerate(region):
+        m = MARKER.match(b)
+        if not m:
+            continue
+        marked = _words_only(b[m.end() :])
+        for c in region[i + 1 :]:
+            if HEADING.match(c) or META.match(c) or marked and not open_(marked):
+                break
+            marked = marked if noise(c) else f"{marked} {_words_only(c)}".strip()
+        break
+    if len(marked) >= LEAST:
+        return end(marked)
+    best, run, skip = "", "", False
+    for b in region:
+        if HEADING.match(b) or META.match(b) and len(b) < 60:
+            run, skip = "", bool(META.match(b))
+        elif skip or noise(b):
+            skip = False
+        else:
+            plain = _words_only(b)
+            run = f"{run} {plain}" if len(run) >= 200 and open_(run) and plain[:1].islower() else plain
+            best = max(best, run, key=len)
+    return end(best) if len(best) >= LEAST else end(marked) if len(marked) >= LEAST_MARKED else ""
+
+
 # --- spacing
 class Spaced:
     """A reference text without its blanks, with where they were."""

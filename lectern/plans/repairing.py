@@ -46,6 +46,26 @@ def cleaned_front(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.replace("text", F.lit("\n\n*Both"), F.lit("\n\n* Both")).alias("text"))
 
 
+_BODY = "of part %s we show that it holds in all of the cases that were looked at, and that it goes on to hold where nobody has looked before, which is new and of some use to all others who care about such matters"
+
+
+@query("marked_abstracts", f"""
+with b as (select p_partkey as doc_id, p_size % 4 as k, replace('{_BODY}', '%s', p_name) as body from part)
+select doc_id, case k when 0 then 'Here ' || body || ', and more of it.' when 1 then 'So ' || body || '.' when 2 then 'Then ' || body || ', it ends here.' else '' end as abstract from b
+""")
+def marked_abstracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Abstracts by their mark or as the longest paragraph, split ones joined, notices and keywords left out (2.7.20)."""
+    k, body = F.col("p_size") % 4, F.concat(*[x for part in _BODY.split("%s") for x in (F.lit(part), F.col("p_name"))][:-1])
+    text = (
+        F.when(k == 0, F.concat(F.lit("# T\n\n## Abstract\n\n**Here** "), body, F.lit(", and more\n\n© 2024 A\n\nof it.\n\n## 1 Start\n\nBody.")))
+        .when(k == 1, F.concat(F.lit("# T\n\nAbstract—So "), body, F.lit(". Permission to make copies is granted\n\n## Keywords\n\n"), F.repeat(F.lit("key word, "), 40), F.lit("\n\n## 1 Start")))
+        .when(k == 2, F.concat(F.lit("# T\n\nAnn Lee, Univ of X, 12345\n\n*Keywords*\n\n"), F.repeat(F.lit("key word "), 60), F.lit("\n\nThen "), body, F.lit(", it\n\n![f](g.png)\n\nends here.\n\n## I. Start")))
+        .otherwise("# T\n\nToo short.\n\n## 1 Start\n\n" + "long body " * 40)
+    )
+    d = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), text.alias("text"))
+    return repair.repair(d, repair.abstract_of, "text", out="abstract").select("doc_id", "abstract")
+
+
 @query("split_author_lines", """
 select p_partkey as doc_id, '# ' || p_name || chr(10) || chr(10) || 'Ann Lee a@x.org' || chr(10) || chr(10) || 'Bo Kim b@y.org' || chr(10) || chr(10) || 'tail' || chr(10) || chr(10) || '<a id="fn-author-1"></a>* equal' || chr(10) || chr(10) || '## 1 Start' as text from part
 """)
