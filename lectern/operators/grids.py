@@ -6,6 +6,7 @@ from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def letters(texts: list[str]) -> Counter:
@@ -72,11 +73,10 @@ def split_rows(columns: list[list[str]], starts: list[list[bool]]) -> list[list[
 def regions(items: DataFrame, slack: float = 2.0) -> DataFrame:
     """connected for every page of a table of boxes (doc_id, page, unit, l, t, r, b): adds region, the first unit of the group."""
 
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values("unit")
-        groups = connected(list(df[["l", "t", "r", "b"]].itertuples(index=False, name=None)), slack)
-        units = df["unit"].tolist()
-        return df.assign(region=[units[g] for g in groups])[["doc_id", "page", "unit", "region"]]
+    @F.pandas_udf("array<int>")
+    def run(boxes: pd.Series) -> pd.Series:
+        return pd.Series([connected([(b["l"], b["t"], b["r"], b["b"]) for b in page], slack) for page in boxes], dtype=object)
 
-    cols = items.select("doc_id", "page", "unit", "l", "t", "r", "b")
-    return cols.groupBy("doc_id", "page").applyInPandas(run, "doc_id bigint, page int, unit int, region int")
+    g = items.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("unit", "l", "t", "r", "b"))).alias("u"))
+    named = g.withColumn("first", run("u")).withColumn("region", F.transform("first", lambda k: F.get("u", k)["unit"]))
+    return named.select("doc_id", "page", F.explode(F.arrays_zip("u", "region")).alias("p")).select("doc_id", "page", "p.u.unit", "p.region")

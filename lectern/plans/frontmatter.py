@@ -46,7 +46,12 @@ def export_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frontmatter.export_lines(rows, urls, "links").select("doc_id", "line")
 
 
-@query("page_regions")
+@query("page_regions", f"""
+with recursive i as ({ITEMS}),
+e as (select a.doc_id, a.page, a.unit as a, b.unit as b from i a join i b on a.doc_id = b.doc_id and a.page = b.page and a.l <= b.r + 2 and b.l <= a.r + 2 and a.t <= b.b + 2 and b.t <= a.b + 2),
+r as (select doc_id, page, unit, unit as root from i union select r.doc_id, r.page, e.b, r.root from r join e on e.doc_id = r.doc_id and e.page = r.page and e.a = r.unit)
+select doc_id, page, unit, min(root) as region from r group by doc_id, page, unit
+""")
 def page_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes that touch, page by page (2.6.20, 2.7.25)."""
     return grids.regions(relation(spark, sf_dir, ITEMS))

@@ -355,7 +355,17 @@ def bigram_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", F.round(dice(F.col("p_name"), F.concat("p_brand", "p_name")), 9).alias("score"))
 
 
-@query("caption_pairs")
+@query("caption_pairs", """
+with l as (select distinct l_orderkey as doc_id, l_linenumber as i, case l_linenumber % 3 when 0 then '![x](a.png)' when 1 then 'Figure ' || l_linenumber || ': seen' else '' end as line from lineitem),
+p as (select *, row_number() over (partition by doc_id order by i) as p from l),
+img as (select doc_id, i, p, row_number() over (partition by doc_id order by p) as k from p where line like '![%'),
+cap as (select doc_id, i, p from p where line like 'Figure%'),
+c as (select img.doc_id, img.k, img.i as image, cap.i as caption, case cap.p - img.p when 1 then 1 when 2 then 2 when -1 then 3 when -2 then 4 else 5 end as prio from img join cap using (doc_id)
+  where cap.p - img.p between -2 and 2 or (cap.p - img.p between 3 and 8 and not exists (select 1 from p q where q.doc_id = img.doc_id and q.p > img.p and q.p < cap.p and q.line <> ''))),
+one as (select doc_id, any_value(image) as image, arg_min(caption, prio) as caption from c where k = 1 group by doc_id),
+two as (select c.doc_id, any_value(c.image) as image, arg_min(c.caption, c.prio) as caption from c left join one using (doc_id) where k = 2 and (one.caption is null or c.caption <> one.caption) group by c.doc_id)
+select doc_id, image, caption, 'Figure ' || caption as label from (select * from one union all select * from two)
+""")
 def caption_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Images and their captions in documents made of parts (2.5.2)."""
     kinds = F.when(F.col("l_linenumber") % 3 == 0, F.lit("![x](a.png)")).when(F.col("l_linenumber") % 3 == 1, F.concat(F.lit("Figure "), "l_linenumber", F.lit(": seen"))).otherwise("")
