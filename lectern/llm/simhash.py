@@ -75,8 +75,8 @@ def with_fingerprints(docs: DataFrame, doc_id: str, text: str, kinds: dict[str,
 
 #: What comparing one candidate costs, in keys asked for.
 CANDIDATE = 0.1
-#: Cells with more rows than this, and four times as many rows as groups, are met group by group.
-CROWD = 64
+#: Cells with more rows than CROWD and at most FEW groups are met group by group.
+CROWD, FEW = 64, 8
 
 
 def plan_segments(n: int, radius: int) -> list[tuple[int, int, int]]:
@@ -103,13 +103,14 @@ def plan_segments(n: int, radius: int) -> list[tuple[int, int, int]]:
 def crowds(cells: DataFrame, key: str) -> DataFrame:
     """Every cell's a and b (least and greatest group) and whether it is a crowd; cells: key and group.
 
-    A cell is a crowd if it has over CROWD rows, four a group or more: then
-    rows look for other groups first and for their rows after, so that rows of
-    one group, which need not meet, are never paired.  Rows pre-aggregate.
+    A cell is a crowd if it has over CROWD rows of at most FEW groups: then
+    rows look for other groups first, FEW at most, and for their rows after,
+    so that rows of one group, which need not meet, are never paired.  Rows
+    pre-aggregate.
     """
     sizes = cells.groupBy(key, "group").agg(F.count(F.lit(1)).alias("n"))
     by = sizes.groupBy(key).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups"), F.min("group").alias("a"), F.max("group").alias("b"))
-    return by.select(key, "a", "b", ((F.col("n") > CROWD) & (F.col("groups") * 4 <= F.col("n"))).alias("crowd"))
+    return by.select(key, "a", "b", ((F.col("n") > CROWD) & (F.col("groups") <= FEW)).alias("crowd"))
 
 
 def meet(asked: DataFrame, cells: DataFrame, key: str, on: Column) -> DataFrame:
