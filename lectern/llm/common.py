@@ -90,6 +90,24 @@ def join_small(left: DataFrame, right: DataFrame, on: Column, how: str, most: in
     return left.join(right, on, how)
 
 
+#: Bits of a filter of ids, which bound the table that is broadcast: one row for 64 of them.
+FILTER_BITS = 1 << 23
+
+
+def with_maybe(df: DataFrame, ids: DataFrame, name: str = "doc_id") -> DataFrame:
+    """df with `_maybe`, whether a row's id may be among ids: true for all that are, and for few others as long as ids fill a small part of FILTER_BITS.
+
+    Both have the column `name`.  The filter is a table of at most
+    FILTER_BITS / 64 rows, so that df need not shuffle to meet it.
+    """
+    place = F.pmod(F.xxhash64(name), F.lit(FILTER_BITS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(place, F.lit(64)).cast("int"))
+    word = F.shiftright(place, 6)
+    bits = ids.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    met = df.join(F.broadcast(bits), word == F.col("_word"), "left")
+    return met.withColumn("_maybe", F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))).drop("_word", "_bits")
+
+
 def ln_gamma(x: Column) -> Column:
     """Logarithm of the gamma function of x > 0, by Stirling's series eight places further up."""
     z = x + 8

@@ -130,9 +130,11 @@ def mix_sources(
     """Copies of every row of docs so that sources meet their targets.
 
     Returns doc_id, source, size (words), source_size, target (of the source),
-    copies and taken (size times copies).  A null text has size zero and is
-    taken zero words; a null source is a source of its own; equal rows are
-    rounded one by one.  No document gets more than `most` copies.
+    copies and taken (size times copies).  A null or empty text has size zero
+    and is taken zero words; a text of any length is one item; a null source is
+    a source of its own; equal rows are rounded one by one, ties of size go by
+    doc_id; without rows the result is empty; further columns are not read.  No
+    document gets more than `most` copies.
     """
     sizes = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(source).alias("source"), F.size(words(F.col(text))).cast("bigint").alias("size"))
     sizes = materialize(sizes, "sizes")

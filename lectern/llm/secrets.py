@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, with_maybe
 
 
 def _either_case(word: str) -> str:
@@ -152,16 +152,13 @@ def redact(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", owner
     Overlapping spans become one mark.  Null texts stay null, empty and clean
     ones as they are; equal rows are treated alike; without rows the result is
     empty.  A text may be of any length, and further columns stay, whatever
-    their names.  Base spans are found again where the texts are; the spans
-    that a token of the corpus adds come from secret_scan, and texts shuffle
-    to meet them only if they hold a candidate token at all.
+    their names.  Spans come from secret_scan; only texts of ids that may have
+    spans shuffle to meet them.
     """
     found = materialize(secret_scan(docs, doc_id=doc_id, text=text, owner=owner).where(F.size("spans") > 0), "found-secrets")
     found = found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "spans").dropDuplicates(["_id", "_key"])
-    rows = docs.select(F.struct("*").alias("_row"), F.col(doc_id).alias("_doc"), F.col(text).alias("_t"))
-    # Only texts in which a pattern occurs can have spans; the others need no partner.
-    maybe = F.coalesce(F.col("_t").rlike(f"{ASSIGN}|{ACCESS}|{HEX}|{TOKEN}"), F.lit(False))
-    rows = rows.withColumn("_maybe", F.explode(F.array(maybe)))
+    rows = docs.select(F.struct("*").alias("_row"), F.col(doc_id).alias("_id"), F.col(text).alias("_t"))
+    rows = with_maybe(rows, found.select("_id"), "_id").withColumnRenamed("_id", "_doc")
     met = rows.where("_maybe").join(
         found.hint("shuffle_hash"), F.col("_doc").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("_t", F.lit(""))) == F.col("_key")), "left"
     )

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, freeing, materialize, shared_dir
+from .common import discard, freeing, materialize, shared_dir, with_maybe
 from .windows import Chunk, WordHashes
 
 WINDOW = 20
@@ -23,8 +23,6 @@ CHUNK = 200_000
 #: Runs of the index beyond which they are compacted into one.
 MOST_RUNS = 4
 RUN = "ah bigint, rh bigint, doc_id bigint, lo int, n int"
-#: Bits of the filter of ids, which bound the table that is broadcast: one row for 64 of them.
-FILTER_BITS = 1 << 23
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
@@ -84,16 +82,8 @@ def _merged(ids: np.ndarray, low: np.ndarray, n: np.ndarray) -> tuple[np.ndarray
 
 
 def maybe_in(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id may be among ids: all that are, and few others as long as ids fill a small part of FILTER_BITS.
-
-    The filter is a table of at most FILTER_BITS / 64 rows, so docs need not
-    shuffle to meet it.
-    """
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(place, F.lit(64)).cast("int"))
-    word = F.shiftright(place, 6)
-    bits = ids.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
-    return docs.join(F.broadcast(bits), (word == F.col("_word")) & (F.col("_bits").bitwiseAND(bit) != 0), "left_semi")
+    """The rows of docs whose doc_id may be among ids, see with_maybe."""
+    return with_maybe(docs, ids).where("_maybe").drop("_maybe")
 
 
 class FingerprintIndex:
