@@ -20,12 +20,12 @@ SUBFIGURE = r"^\s*([-*+]\s+)?\(?[a-z]\)(\s|$)"
 HEADED_CAPTION = r"(?i)^#{1,6}\s+(<[^>]+>\s*)?" + WORDS + r"\s+([0-9]+|[IVXLC]+)\s*[:.]?\s*(.*)$"
 BULLET_HEADING = r"^#{1,6}\s+[•·‣●▪◦∙・]\s+(\S.*)$"
 NUMBERED_HEADING = r"(?i)^\s*([0-9]|Part\b|Appendix\b|Chapter\b|Section\b)"
+ESCAPED = r"\\([\\`*_{}\[\]()#+\-.!|<>~&$])"
 #: Headings that are sections, however close to a figure.
 SECTIONS = (
-    "abstract references introduction acknowledgments acknowledgements conclusion conclusions keywords background appendix discussion methods method "
-    "results limitations footnotes"
-).split() + ["ccs concepts", "related work"]
-ESCAPED = r"\\([\\`*_{}\[\]()#+\-.!|<>~&$])"
+    "abstract", "references", "introduction", "acknowledgments", "acknowledgements", "conclusion", "conclusions", "keywords", "ccs concepts", "related work", "background",
+    "appendix", "discussion", "methods", "method", "results", "limitations", "footnotes",
+)
 TITLE_CHARS, SAME, KEY_CHARS = 60, 0.9, 400
 
 

@@ -10,6 +10,8 @@ from lectern.operators.library import closure
 from lectern.operators.terms import dedupe
 
 MOST_NAME = 80
+#: What is no words of a page: linked citations, formulas, addresses of links, tags.
+NO_WORDS = r"\[\[[^\]]*\]\([^)]*\)\]|\$[^$]*\$|\]\([^)]*\)|<[^>]+>"
 
 
 def clean_name(name: Column) -> Column:
@@ -217,8 +219,7 @@ def guess_page(places: DataFrame, pages: DataFrame, sizes: tuple[int, ...] = (8,
     probe that a single page of the document holds decides, the words before
     it first.
     """
-    strip = r"\[\[[^\]]*\]\([^)]*\)\]|\$[^$]*\$|\]\([^)]*\)|<[^>]+>"
-    words = lambda c: F.regexp_extract_all(F.lower(F.regexp_replace(c, strip, " ")), F.lit("[0-9a-zà-ÿ]+"), F.lit(0))
+    words = lambda c: F.regexp_extract_all(F.lower(F.regexp_replace(c, NO_WORDS, " ")), F.lit("[0-9a-zà-ÿ]+"), F.lit(0))
     flat = pages.select("doc_id", "page", F.array_join(words(F.col("text")), "").alias("flat"))
     pre = words(F.element_at(F.split("before", "\n\n"), -1))
     post = words(F.get(F.split("after", "\n\n"), F.lit(0)))

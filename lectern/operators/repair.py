@@ -116,8 +116,11 @@ def footnoted(text: str, notes: list[str], evidence: list[tuple[int, str]] | Non
 
 
 # --- front matter
+#: Words of an address.
+ADDRESS = re.compile(
+    r"(?i)\b(univers\w+|institut\w*|college|department|school|tech|laborator\w+|lab|center|centre|inc\.?|llc|corp\w*|company|usa|united states|republic of)\b"
+)
 PERSON = re.compile(r"^[A-ZÀ-Þ][\w'’.\-]*(?: (?:[a-z]{2,3} )?[A-ZÀ-Þ][\w'’.\-]*){1,4}$")
-ADDRESS = re.compile(r"(?i)\b(univers\w+|institut\w*|college|department|school|tech|laborator\w+|lab|cent(?:er|re)|inc\.?|llc|corp\w*|company|usa|united states|republic of)\b")
 BOILERPLATE = re.compile(r"(?i)^(permission to make|copyright|©|\(c\) \d|publication rights|this work is licensed|acm isbn|isbn|https?://doi\.org/)")
 NAMED = re.compile(r"(?i)^(abstract|keywords|ccs concepts|introduction|acm reference format|categories|general terms|index terms)\b")
 
