@@ -37,6 +37,7 @@ THRESHOLD = 0.3
 #: Bounds of a person's chance to call a clean and a toxic text toxic.
 ERRS = ((0.001, 0.9), (0.02, 0.999))
 _WORD = re.compile(r"[^\W\d_]+")
+_MARK = re.compile(r"[^\W\d_][0-9@$!*]")
 _MASKED = re.compile(r"[^\W\d_]+[0-9@$!*][\w@$!*]*")
 _PLAIN = str.maketrans("0134567@$!", "oieasgtasi")
 
@@ -85,53 +86,64 @@ def learn_lexicon(rows: DataFrame) -> list[tuple[str, float]]:
 
 
 class Voters(dict):
-    """Votes on texts as bits; what a word says is remembered up to a bound: (language bits, tier, short stems, long stems)."""
+    """Votes on texts as bits; what a word says is remembered up to a bound: (language bits, tier, short stems, long stems), or () for most."""
 
     def __init__(self, learned: list[tuple[str, float]]):
         super().__init__()
         self.odds = dict(learned)
         self.lists = [frozenset(words.split()) for words in INSULTS.values()]
         self.curated = frozenset().union(*self.lists)
+        self.buckets = Buckets()
 
-    def __missing__(self, word: str) -> tuple[int, int, int, int]:
+    def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) > 400_000:
             self.clear()
         said = self.odds.get(word, 0.0)
         tier = 3 if said >= STRONG else 2 if said >= MEDIUM else 1 if said >= LEAST else 0
         stems = [word[:k] + "*" in self.odds for k in PREFIXES if len(word) > k] + [False] * 4
-        self[word] = found = (sum(1 << i for i, words in enumerate(self.lists) if word in words), tier, int(any(stems[:2])), int(any(stems[2:])))
+        info = (sum(1 << i for i, words in enumerate(self.lists) if word in words), tier, int(any(stems[:2])), int(any(stems[2:])))
+        self[word] = found = info if any(info) else ()
         return found
 
-    def _masked(self, text: str) -> bool:
-        for m in _MASKED.finditer(text.lower()):
+    def _masked(self, low: str) -> bool:
+        if not _MARK.search(low):
+            return False
+        for m in _MASKED.finditer(low):
             plain = m.group(0).translate(_PLAIN)
             if plain in self.curated or "*" in plain and any(re.fullmatch(re.escape(plain).replace(r"\*", "."), w) for w in self.curated if len(w) == len(plain)):
                 return True
         return False
 
-    def mask(self, text: str | None) -> int:
-        """The voters that fire, one bit each."""
+    def read(self, text: str | None) -> tuple[int, list[int]]:
+        """The voters that fire, one bit each, and the buckets of the text's distinct words."""
         text = text or ""
-        words = _WORD.findall(text.lower())
-        said = [self[w] for w in words]
+        low = text.lower()
+        words = _WORD.findall(low)
+        hits = [(i, x) for i, w in enumerate(words) if (x := self[w])]
         lists, tiers, short, long_, at = 0, [0, 0, 0, 0], 0, 0, []
-        for i, (a, tier, b, c) in enumerate(said):
-            if a or tier or b or c:
-                lists |= a
-                tiers[tier] += 1
-                short, long_ = short + b, long_ + c
-                if a or tier == 3:
-                    at.append(i)
+        for i, (a, tier, b, c) in hits:
+            lists |= a
+            tiers[tier] += 1
+            short, long_ = short + b, long_ + c
+            if a or tier == 3:
+                at.append(i)
         near = any(w in SECOND for i in at for w in words[max(i - 3, 0) : i + 4])
         most = max(Counter(words[i] for i in at).values(), default=0)
-        loud = len(words) >= 5 and "!" in text and 2 * len(re.findall("[A-ZÀ-Þ]", text)) > len(text)
-        fired = (tiers[3] > 0, tiers[2] > 0, tiers[1] > 1, short > 1, long_ > 1, near, most > 2, self._masked(text), loud, len(at) * 100 >= max(len(words), 1))
-        return lists | sum(1 << (len(self.lists) + k) for k, yes in enumerate(fired) if yes)
+        loud = "!" in text and len(words) >= 5 and 2 * len(re.findall("[A-ZÀ-Þ]", text)) > len(text)
+        fired = (tiers[3] > 0, tiers[2] > 0, tiers[1] > 1, short > 1, long_ > 1, near, most > 2, self._masked(low), loud, len(at) * 100 >= max(len(words), 1))
+        mask = lists | sum(1 << (len(self.lists) + k) for k, yes in enumerate(fired) if yes)
+        known = self.buckets
+        return mask, sorted({known[w] for w in set(words)})
 
 
-def buckets(text: str | None) -> list[int]:
-    """Buckets of a text's distinct words."""
-    return sorted({zlib.crc32(w.encode()) % BUCKETS for w in set(_WORD.findall((text or "").lower()))})
+class Buckets(dict):
+    """Bucket of each word, remembered up to a bound."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 400_000:
+            self.clear()
+        self[word] = b = zlib.crc32(word.encode()) % BUCKETS
+        return b
 
 
 def _states(voters: int, pairs: list[tuple[int, int]]) -> np.ndarray:
@@ -300,48 +312,34 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text
     learned = learn_lexicon(join_small(rows, known, same, "inner", MOST_BROADCAST).select("text", "toxic"))
     lexicon = spark.sparkContext.broadcast(learned)
 
-    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voters = Voters(lexicon.value)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([voters.mask(t) for t in b.column(1).to_pylist()], pa.int64())], ["doc_id", "mask"])
+            got = [voters.read(t) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m for m, _ in got], pa.int64()), pa.array([w for _, w in got], pa.list_(pa.int16()))], ["doc_id", "mask", "words"])
 
-    voted = materialize(rows.mapInArrow(vote, "doc_id bigint, mask bigint"), "toxic-votes")
-    train = voted.where(~held_out(F.col("doc_id"))).join(known, same, "left").select("doc_id", "mask", F.coalesce("toxic", F.lit(-1)).alias("toxic"))
+    seen = materialize(rows.mapInArrow(read, "doc_id bigint, mask bigint, words array<smallint>"), "toxic-votes")
+    train = seen.where(~held_out(F.col("doc_id"))).join(known, same, "left").select("doc_id", "mask", F.coalesce("toxic", F.lit(-1)).alias("toxic"), "words")
     patterns = train.groupBy("mask", "toxic").agg(F.count(F.lit(1)).alias("rows")).orderBy("mask", "toxic").collect()
     table = np.array([list(p) for p in patterns], dtype=np.int64).reshape(len(patterns), 3)
     post, _ = fit_label_model(_bits(table[:, 0]), table[:, 1], table[:, 2].astype(float)) if len(table) else (np.zeros(0), {})
     soft = {(int(m), int(t)): p for (m, t, _), p in zip(table.tolist(), post.tolist(), strict=True)}
 
-    # The rows of the fit, with null ids last of all: an id stands for one of its texts.
-    chosen = train.where("doc_id is not null").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_FIT)
-    chosen = materialize(chosen, "toxic-fit").withColumnRenamed("doc_id", "c_")
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([buckets(t) for t in b.column(3).to_pylist()], pa.list_(pa.int16()))], ["c_", "mask", "toxic", "words"])
-
-    fit = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("c_")).select("c_", "mask", "toxic", "text").mapInArrow(hashed, "c_ bigint, mask bigint, toxic int, words array<smallint>")
-    fit = materialize(fit, "toxic-features").orderBy(F.xxhash64("c_"), "c_", "mask", F.size("words"), F.hash("words"))
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("mask"), F.size("words"), F.hash("words")]
     words, masks, goal = [], [], []
-    for r in fit.toLocalIterator():
-        if len(words) < MOST_FIT and (r.mask, r.toxic) in soft:
-            words.append(np.array(r.words, dtype=np.int16))
-            masks.append(r.mask)
-            goal.append(soft[r.mask, r.toxic])
+    for r in materialize(train.orderBy(*order).limit(MOST_FIT), "toxic-fit").orderBy(*order).toLocalIterator():
+        words.append(np.array(r.words, dtype=np.int16))
+        masks.append(r.mask)
+        goal.append(soft[r.mask, r.toxic])
     dense = np.hstack([_bits(np.array(masks, dtype=np.int64)), np.ones((len(masks), 1))])
-    model = fit_classifier(words, dense, np.array(goal)) if words else (np.zeros(BUCKETS), np.append(np.full(len(VOTERS), 1.0), -4.0))
-    held = spark.sparkContext.broadcast((learned, *model))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        learned, weights, own = held.value
-        voters = Voters(learned)
-        for b in batches:
-            out = []
-            for t in b.column(1).to_pylist():
-                found, mask = buckets(t), voters.mask(t)
-                logit = own[-1] + sum(own[k] for k in range(len(VOTERS)) if mask >> k & 1) + (weights[found].sum() / len(found) ** 0.5 if found else 0.0)
-                out.append(1 / (1 + np.exp(-min(max(logit, -40.0), 40.0))))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], ["doc_id", "score"])
-
-    scored = rows.mapInArrow(score, "doc_id bigint, score double")
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    weights, own = fit_classifier(words, dense, np.array(goal)) if words else (np.zeros(BUCKETS), np.append(np.full(len(VOTERS), 1.0), -4.0))
+
+    held = F.lit([float(x) for x in weights]).cast("array<double>")
+    said = F.lit(float(own[-1]))
+    for k in range(len(VOTERS)):
+        said = said + F.shiftright("mask", k).bitwiseAND(F.lit(1)) * float(own[k])
+    size = F.sqrt(F.greatest(F.size("words"), F.lit(1)).cast("double"))
+    logit = said + F.aggregate("words", F.lit(0.0), lambda a, b: a + F.get(held, b.cast("int"))) / size
+    score = 1 / (1 + F.exp(-F.least(F.greatest(logit, F.lit(-40.0)), F.lit(40.0))))
+    scored = seen.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
