@@ -160,7 +160,7 @@ def test_potentials_give_the_statistics_of_their_class():
 
 def test_voters_of_every_kind():
     v = toxicity.Voters([("zorkle", 4.0), ("blap", 3.0), ("snib", 2.2), ("gromm*", 2.5), ("grommxx*", 2.5)])
-    said = lambda t: {n for k, n in enumerate(toxicity.VOTERS) if v.mask(t) >> k & 1}
+    said = lambda t: {n for k, n in enumerate(toxicity.VOTERS) if v.read(t)[0] >> k & 1}
     assert said("you are an idiot") >= {"english", "german", "french", "address"} and said("ein Trottel ist hier weit und breit " * 1) >= {"german"}
     assert said("zorkle") >= {"strong", "density"} and said("blap word") >= {"medium"} and "weak" in said("snib or snib again") and "weak" not in said("one snib")
     assert said("grommit and grommer") == {"stems"} and "long stems" in said("grommxxab grommxxcd") and "masked" in said("what an id1ot") and "masked" in said("m*ron")
