@@ -37,7 +37,7 @@ THRESHOLD = 0.3
 #: Bounds of a person's chance to call a clean and a toxic text toxic.
 ERRS = ((0.001, 0.9), (0.02, 0.999))
 _WORD = re.compile(r"[^\W\d_]+")
-_MARK = re.compile(r"[^\W\d_][0-9@$!*]")
+_MARK = re.compile(r"[0-9@$*]")
 _MASKED = re.compile(r"[^\W\d_]+[0-9@$!*][\w@$!*]*")
 _PLAIN = str.maketrans("0134567@$!", "oieasgtasi")
 
@@ -86,27 +86,30 @@ def learn_lexicon(rows: DataFrame) -> list[tuple[str, float]]:
 
 
 class Voters(dict):
-    """Votes on texts as bits; what a word says is remembered up to a bound: (language bits, tier, short stems, long stems), or () for most."""
+    """Votes on texts as bits.
+
+    What a word says is remembered up to a bound: its bucket, and (language
+    bits, tier, short stems, long stems) or () for most.
+    """
 
     def __init__(self, learned: list[tuple[str, float]]):
         super().__init__()
         self.odds = dict(learned)
         self.lists = [frozenset(words.split()) for words in INSULTS.values()]
         self.curated = frozenset().union(*self.lists)
-        self.buckets = Buckets()
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def __missing__(self, word: str) -> tuple[int, tuple[int, ...]]:
         if len(self) > 400_000:
             self.clear()
         said = self.odds.get(word, 0.0)
         tier = 3 if said >= STRONG else 2 if said >= MEDIUM else 1 if said >= LEAST else 0
         stems = [word[:k] + "*" in self.odds for k in PREFIXES if len(word) > k] + [False] * 4
         info = (sum(1 << i for i, words in enumerate(self.lists) if word in words), tier, int(any(stems[:2])), int(any(stems[2:])))
-        self[word] = found = info if any(info) else ()
+        self[word] = found = (zlib.crc32(word.encode()) % BUCKETS, info if any(info) else ())
         return found
 
     def _masked(self, low: str) -> bool:
-        if not _MARK.search(low):
+        if "!" not in low and not _MARK.search(low):
             return False
         for m in _MASKED.finditer(low):
             plain = m.group(0).translate(_PLAIN)
@@ -119,7 +122,9 @@ class Voters(dict):
         text = text or ""
         low = text.lower()
         words = _WORD.findall(low)
-        hits = [(i, x) for i, w in enumerate(words) if (x := self[w])]
+        said = {w: self[w] for w in set(words)}
+        hot = {w: x for w, (_, x) in said.items() if x}
+        hits = [(i, hot[w]) for i, w in enumerate(words) if w in hot] if hot else []
         lists, tiers, short, long_, at = 0, [0, 0, 0, 0], 0, 0, []
         for i, (a, tier, b, c) in hits:
             lists |= a
@@ -132,18 +137,7 @@ class Voters(dict):
         loud = "!" in text and len(words) >= 5 and 2 * len(re.findall("[A-ZÀ-Þ]", text)) > len(text)
         fired = (tiers[3] > 0, tiers[2] > 0, tiers[1] > 1, short > 1, long_ > 1, near, most > 2, self._masked(low), loud, len(at) * 100 >= max(len(words), 1))
         mask = lists | sum(1 << (len(self.lists) + k) for k, yes in enumerate(fired) if yes)
-        known = self.buckets
-        return mask, sorted({known[w] for w in set(words)})
-
-
-class Buckets(dict):
-    """Bucket of each word, remembered up to a bound."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        self[word] = b = zlib.crc32(word.encode()) % BUCKETS
-        return b
+        return mask, sorted({b for b, _ in said.values()})
 
 
 def _states(voters: int, pairs: list[tuple[int, int]]) -> np.ndarray:
