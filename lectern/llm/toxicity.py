@@ -38,7 +38,7 @@ THRESHOLD = 0.3
 ERRS = ((0.001, 0.9), (0.02, 0.999))
 _WORD = re.compile(r"[^\W\d_]+")
 _MARK = re.compile(r"[0-9@$*]")
-_MASKED = re.compile(r"[^\W\d_]+[0-9@$!*][\w@$!*]*")
+_MASKED = re.compile(r"(?<![^\W_])[^\W\d_]++[0-9@$!*][\w@$!*]*")
 _PLAIN = str.maketrans("0134567@$!", "oieasgtasi")
 
 
