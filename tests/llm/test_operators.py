@@ -158,6 +158,13 @@ def test_potentials_give_the_statistics_of_their_class():
     assert abs(p.sum() - 1) < 1e-9 and np.abs(p @ states - mean).max() < 1e-6
 
 
+def test_a_bounded_fit_scores_every_row(spark, docs, monkeypatch):
+    labels = read(spark, "/root/testdata/sf0.001", "labels").select("doc_id", "toxic")
+    monkeypatch.setattr(toxicity, "MOST_FIT", 60)
+    one, two = (sorted(toxicity.toxicity(docs, labels).collect()) for _ in range(2))
+    assert one == two and len(one) == docs.count() and all(0 <= r.score <= 1 for r in one)
+
+
 def test_voters_of_every_kind():
     v = toxicity.Voters([("zorkle", 4.0), ("blap", 3.0), ("snib", 2.2), ("gromm*", 2.5), ("grommxx*", 2.5)])
     said = lambda t: {n for k, n in enumerate(toxicity.VOTERS) if v.read(t)[0] >> k & 1}
