@@ -130,7 +130,7 @@ def figure_text(rows: DataFrame) -> DataFrame:
     title = F.trim(F.regexp_extract("line", r"^#{1,6}\s+(.*)$", 1))
     maybe = (
         F.col("line").rlike(r"^#{1,6}\s+") & ~title.rlike(NUMBERED_HEADING) & (F.length(title) <= TITLE_CHARS)
-        & ~F.lower(F.trim(F.regexp_replace(title, r":+$", ""))).isin(SECTIONS)
+        & ~F.lower(F.trim(F.regexp_replace(title, r":+$", ""))).isin(*SECTIONS)
     )
     t = untagged(F.col("line"))
     figure = F.trim("line").rlike(r"^\s*!\[") | (t.rlike(r"(?i)^(Figure|Fig\.?)\s+[0-9]")) | F.trim("line").rlike(SUBFIGURE)
