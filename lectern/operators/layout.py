@@ -137,20 +137,19 @@ def unwrapped_references(cells: DataFrame, lines: DataFrame) -> DataFrame:
     heading of references); lines: doc_id, table, base, l, text.  Such a table
     has two filled columns and no spans, its markers count up by one, and its
     text is right of them.  Each line goes to the last marker at or above it;
-    markers' own lines give the base.
+    markers' own lines give the base.  Tables grow with the documents, however
+    small their rows compress, so they are merged with the lines and never broadcast.
     """
     marker = F.regexp_extract("text", r"^\[?([0-9]{1,3})[\].]?$", 1).try_cast("int")
-    c = cells.withColumn("marker", F.when(F.col("col") == 0, marker))
-    w = Window.partitionBy("doc_id", "table").orderBy("row")
-    first = c.where("col = 0").withColumn("step", F.col("marker") - F.lag("marker").over(w))
-    ok = first.groupBy("doc_id", "table").agg(
-        F.bool_and(F.col("marker").isNotNull()).alias("m"), F.bool_and(F.coalesce(F.col("step") == 1, F.lit(True))).alias("s"), F.max("l").alias("left"), F.count(F.lit(1)).alias("n")
-    )
+    w = Window.partitionBy("doc_id", "table").orderBy("col", "row")
+    c = cells.withColumn("marker", F.when(F.col("col") == 0, marker)).withColumn("step", F.col("marker") - F.lag("marker").over(w))
+    first = lambda x: F.when(F.col("col") == 0, x)
     shape = c.groupBy("doc_id", "table").agg(
-        F.max("col").alias("cols"), F.bool_and(~F.col("spans")).alias("flat"), F.bool_and("under").alias("under"), F.bool_and(F.trim("text") != "").alias("filled"),
+        F.bool_and(first(F.col("marker").isNotNull())).alias("m"), F.bool_and(first(F.coalesce(F.col("step") == 1, F.lit(True)))).alias("s"), F.max(first(F.col("l"))).alias("left"),
+        F.count(first(F.lit(1))).alias("n"), F.max("col").alias("cols"), F.bool_and(~F.col("spans")).alias("flat"), F.bool_and("under").alias("under"), F.bool_and(F.trim("text") != "").alias("filled"),
         F.min(F.when(F.col("col") == 1, F.col("l"))).alias("body"),
     )
-    good = ok.join(shape, ["doc_id", "table"]).where("m and s and n >= 2 and cols = 1 and flat and under and filled and body > left").select("doc_id", "table", "left")
+    good = shape.where("m and s and n >= 2 and cols = 1 and flat and under and filled and body > left").select("doc_id", "table", "left").hint("merge")
     own = F.regexp_extract("text", r"^\[?([0-9]{1,3})[\].]?$", 1).try_cast("int")
     rows = lines.join(good, ["doc_id", "table"]).withColumn("marker", F.when(F.col("l") <= F.col("left"), own))
     order = Window.partitionBy("doc_id", "table").orderBy("base", F.col("marker").isNull(), "l")

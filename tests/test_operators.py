@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as T
 from lectern.functions.similarity import matching_ratio, ratio
 from lectern.operators import annotations, bibliography, cache, citations, headings, layout, library, lines, search, sequences, terms
+from lectern.plans import QUERIES
 from lectern.sources import tables
 from lectern.streaming.oplog import breaker_stream, fold_stream
 
@@ -261,3 +262,22 @@ def test_guarded_writes_and_glosses(spark):
     firsts = writing.first_use(units, spark.createDataFrame([(1, "a", "A (a)")], "doc_id int, term string, gloss string"))
     got = writing.drop_later_glosses(units, firsts, F.regexp_replace("gloss", r" \(.*\)$", "")).orderBy("doc_id", "pos").collect()
     assert [r.text for r in got] == ["A (a) here", "again A", "none"]
+
+
+def test_reference_tables_meet_their_lines_without_a_broadcast(spark, sf):
+    df = QUERIES["unwrapped_references"](spark, sf)
+    assert df.count() and "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_tables_of_references_are_unwrapped(spark):
+    row = lambda d, r, c, x, t, spans=False: (d, 0, r, c, x, t, spans, True)
+    cells = [
+        row(1, 0, 0, 10.0, "[1]"), row(1, 0, 1, 30.0, "a"), row(1, 1, 0, 10.0, "[2]"), row(1, 1, 1, 30.0, "b"),
+        row(2, 0, 0, 10.0, "[1]"), row(2, 0, 1, 30.0, "a"), row(2, 1, 0, 10.0, "[3]"), row(2, 1, 1, 30.0, "b"),
+        row(3, 0, 0, 10.0, "[1]"), row(3, 0, 1, 30.0, "a"), row(3, 1, 0, 10.0, "[2]"), row(3, 1, 1, 30.0, "b", True),
+        row(4, 0, 1, 30.0, "a"), row(4, 1, 1, 30.0, "b"), row(5, 0, 0, 10.0, "[1]"), row(5, 0, 1, 30.0, "a"),
+    ]
+    lines = [(d, 0, b, x, t) for d in range(1, 6) for b, x, t in [(1.0, 10.0, "[1]"), (1.0, 30.0, "a"), (2.0, 10.0, "[2]"), (2.0, 30.0, "b")]]
+    c = spark.createDataFrame(cells, "doc_id int, table int, row int, col int, l double, text string, spans boolean, under boolean")
+    got = layout.unwrapped_references(c, spark.createDataFrame(lines, "doc_id int, table int, base double, l double, text string"))
+    assert sorted(map(tuple, got.collect())) == [(1, 0, 1, "a"), (1, 0, 2, "b")]
