@@ -346,16 +346,39 @@ def _plain(text: str) -> str:
     return re.sub(r"\s+", " ", re.sub(r"-\s*\n\s*", "", re.sub(r"[*_`]", "", text)))
 
 
-def unbroken(text: str, reference: str, anchor: int = 18, least: int = 8) -> str:
-    """Replacement characters (U+FFFD) as the reference has them, found by what stands before and behind."""
+def _agreement(a: str, b: str) -> int:
+    """How many characters two texts have in common at their start."""
+    return next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+
+def unbroken(text: str, reference: str, anchor: int = 18, least: int = 8, wide: int = 80, most: int = 6) -> str:
+    """Replacement characters (U+FFFD) as the reference has them, found by what stands before and behind.
+
+    The reference is searched as it is, then without markup and with single
+    blanks.  Of several places that fit, as in text that repeats, the one
+    counts that agrees with the most of `wide` characters on either side, then
+    the one with the fewest characters lost, then the nearest.
+    """
     ref = _plain(reference)
 
     def fix(m: re.Match) -> str:
-        before, behind = _plain(text[max(0, m.start() - 80) : m.start()])[-anchor:], _plain(text[m.end() : m.end() + 80])[:anchor]
-        if min(len(before), len(behind)) < least:
-            return m.group(0)
-        found = re.search(re.escape(before) + "(.{1,6}?)" + re.escape(behind), ref)
-        return found.group(1) if found else m.group(0)
+        for whole, form in ((reference, str), (ref, _plain)):
+            left, right = form(text[max(0, m.start() - wide) : m.start()]), form(text[m.end() : m.end() + wide])
+            before, behind = left[-anchor:], right[:anchor]
+            if min(len(before), len(behind)) < least:
+                continue
+            fits, at = [], whole.find(before)
+            while at >= 0:
+                start = at + len(before)
+                ends = range(start + 1, start + max(most, len(m.group(0))) + 1)
+                fits += [(start, end) for end in ends if whole.startswith(behind, end) and "\n" not in whole[start:end]]
+                at = whole.find(before, at + 1)
+            if len(fits) > 1:
+                agreed = lambda p: _agreement(left[::-1], whole[max(0, p[0] - wide) : p[0]][::-1]) + _agreement(right, whole[p[1] : p[1] + wide])  # noqa: B023, E731
+                fits = [min(fits, key=lambda p: (-agreed(p), p[1] - p[0], abs(p[0] - m.start())))]
+            if fits:
+                return whole[slice(*fits[0])]
+        return m.group(0)
 
     return re.sub("\ufffd+", fix, text)
 

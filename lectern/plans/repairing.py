@@ -81,7 +81,8 @@ select doc_id, flat as text from d where length(flat) >= 60
 """)
 def unbroken_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Characters that were lost in the extraction, as the source has them (2.5.24)."""
-    d = load(spark, sf_dir, "documents").select("doc_id", F.trim(F.regexp_replace("text", r"[\s*_`]+", " ")).alias("flat")).where("length(flat) >= 60")
+    flat = F.regexp_replace(F.regexp_replace("text", r"[\t\n\f\r *_`]+", " "), r"^\p{Zs}+|\p{Zs}+\z", "")  # blanks as the SQL's engine knows them
+    d = load(spark, sf_dir, "documents").select("doc_id", flat.alias("flat")).where("length(flat) >= 60")
     broken = F.concat(F.substring("flat", 1, 30), F.lit("�"), F.substring(F.col("flat"), F.lit(32), F.length("flat")))
     return repair.repair(d.select("doc_id", broken.alias("text"), "flat"), repair.unbroken, "text", "flat").select("doc_id", "text")
 

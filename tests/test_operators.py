@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as T
 from lectern.functions.similarity import matching_ratio, ratio
 from lectern.operators import annotations, bibliography, cache, citations, headings, layout, library, lines, search, sequences, terms
-from lectern.plans import QUERIES
+from lectern.plans import repairing
 from lectern.sources import tables
 from lectern.streaming.oplog import breaker_stream, fold_stream
 
@@ -265,7 +265,7 @@ def test_guarded_writes_and_glosses(spark):
 
 
 def test_reference_tables_meet_their_lines_without_a_broadcast(spark, sf):
-    df = QUERIES["unwrapped_references"](spark, sf)
+    df = repairing.unwrapped_references(spark, sf)
     assert df.count() and "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import duckdb
 import pytest
 
 from lectern.operators import annotations, assembly, captions, reading, repair, search, sequences, translating
+from lectern.plans import ORACLES, repairing
 
 
 def test_spacing_comes_back_where_the_reference_is_sure():
@@ -24,6 +26,16 @@ def test_broken_characters_come_from_their_context():
     assert repair.unpaired("한국어 글은 그대로", "First. Looking at the stars.") == "한국어 글은 그대로"
 
 
+def test_broken_characters_of_repeating_text_come_from_their_own_place():
+    runs = "And " * 9 + "erheha " * 9 + "theawhsh " * 9
+    table = "".join(f"the value of the row is {c} as the next row says below. " for c in "abcdef")
+    odd = "one two three four five six\xa0\u2003seven eight nine ten eleven twelve"
+    for ref in (runs, table, odd, "x" * 70, "ab " * 40 + "\ufffd" * 9 + " and so on it goes to the end of it"):
+        for at in range(20, len(ref) - 20):
+            assert repair.unbroken(ref[:at] + "\ufffd" + ref[at + 1 :], ref) == ref
+    assert repair.unbroken("And " * 7 + "A\ufffdd And " + "erheha " * 9, "**Title** And\n" + "And " * 8 + "erheha " * 9) == "And " * 9 + "erheha " * 9
+
+
 def test_character_maps():
     cmap = repair.parse_cmap("beginbfchar\n<01> <0041>\n<02> <00660069>\nendbfchar beginbfrange <10> <12> <0061> endbfrange")
     assert cmap == {1: "A", 2: "fi", 16: "a", 17: "b", 18: "c"}
@@ -136,3 +148,13 @@ def test_layouts_that_break_are_kept(spark):
 
     assert [tuple(r)[1:4] for r in translating.fix_layout(docs, fails).orderBy("doc_id").collect()] == [("Title\n\ntext `x` here", 0, 1), ("", 0, 0)]
     assert [r.text for r in translating.fix_layout(docs, lambda t: "# " + t).orderBy("doc_id").collect()] == ["# Title\n\ntext `x` here", ""]
+
+
+def test_unbroken_texts_keep_the_blanks_that_the_sql_keeps(spark, tmp_path):
+    words = "and so it goes on to the end of all the lines that there are"
+    texts = [f"\u00a0 {words}\u3000", words.replace(" ", "\v"), "And " * 9 + "erheha " * 9, words.replace("goes on", "goes\u00a0*on"), None, "short"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = repairing.unbroken_texts(spark, str(tmp_path)).select("doc_id", "text").collect()
+    assert sorted(map(tuple, got)) == sorted(c.execute(ORACLES["unbroken_texts"]).fetchall())
