@@ -256,8 +256,8 @@ def minhash_bands(value: np.ndarray) -> list[int]:
 
 
 def near_prints(docs: DataFrame, seed: int) -> DataFrame:
-    """doc_id, fp (hash of the set of shingles), and the sketch and bands of that set; docs: doc_id and text (binary)."""
-    names = ["fp", *[f"s{i}" for i in range(SKETCH)]]
+    """doc_id, fp (hash of the set of shingles), the text's SimHash, and the sketch and bands of that set; docs: doc_id and text (binary)."""
+    names = ["fp", "simhash", *[f"s{i}" for i in range(SKETCH)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, np.uint64)
@@ -266,7 +266,7 @@ def near_prints(docs: DataFrame, seed: int) -> DataFrame:
             for t in b.column(1).to_pylist():
                 shingles = np.concatenate([none, *shingle_hashes(t or b"", SHINGLE, seed, True)])
                 value = minhashes(shingles)
-                rows.append([xxhash.xxh64_intdigest(shingles.tobytes(), seed) - (1 << 63), *minhash_bits(value)])
+                rows.append([xxhash.xxh64_intdigest(shingles.tobytes(), seed) - (1 << 63), *fingerprint(t, seed=seed), *minhash_bits(value)])
                 bands.append(minhash_bands(value))
             cols = [pa.array([r[i] for r in rows], pa.int64()) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols, pa.array(bands, pa.list_(pa.int64()))], ["doc_id", *names, "bands"])
@@ -282,13 +282,14 @@ def alike(a: str, b: str) -> Column:
 def band_stars(prints: DataFrame) -> DataFrame:
     """Candidates that connect most of a dense group without its pairs: u (a node), v (the smallest one of a band they share).
 
-    prints: node, sketch and bands.  Candidates grow with the nodes, not with the pairs of a group.
+    prints: node, group, sketch and bands; nodes of one group are linked
+    already.  Candidates grow with the nodes, not with the pairs of a group.
     """
     rows = prints.select(F.explode("bands").alias("cell"), "node")
     first = rows.groupBy("cell").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").select("cell", "v")
     pairs = rows.join(first, "cell").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
     end = lambda n: prints.withColumnRenamed("node", n).drop("bands").alias(n)
-    return pairs.join(end("u"), "u").join(end("v"), "v").where(alike("u", "v")).select("u", "v")
+    return pairs.join(end("u"), "u").join(end("v"), "v").where(alike("u", "v") & (F.col("u.group") != F.col("v.group"))).select("u", "v")
 
 
 def band_links(prints: DataFrame) -> DataFrame:
@@ -338,12 +339,26 @@ def similar(docs: DataFrame, pairs: DataFrame, seed: int = 42) -> DataFrame:
     return pairs.join(side("u"), "u").join(side("v"), "v").where(jaccard("u_set", "v_set") >= SIMILARITY).select("u", "v")
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", seed: int = 42) -> DataFrame:
+def simhash_near(rows: DataFrame, nodes: DataFrame, radius: int, seed: int) -> DataFrame:
+    """Pairs (u, v) of nodes whose SimHashes are within `radius` bits, found by multi-index hashing, and whose texts are similar.
+
+    rows: doc_id and text (binary); nodes: node and simhash.  Within the radius
+    only pairs that stars have linked already are not asked for.
+    """
+    prints = materialize(nodes.select("node", F.col("simhash").alias("fp")), "near-simhashes")
+    stars = materialize(similar(rows, star_links(prints, radius), seed), "near-simhash-stars")
+    return stars.unionByName(similar(rows, links(materialize(grouped(prints, stars), "near-simhash-groups"), radius), seed))
+
+
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", radius: int = 4, seed: int = 42) -> DataFrame:
     """Near-duplicate class of every row of docs: doc_id and component_id, the smallest doc_id of the class.
 
     Texts are linked from a Jaccard similarity of 0.8 of their five-word
-    shingles.  Texts that share one of BANDS bands of ROWS minhashes are
-    candidates, 512 one-bit minhashes discard those that are hardly similar,
+    shingles.  Candidates are first all texts whose SimHashes are within
+    `radius` bits, by the same multi-index search as in `simhash_components`.
+    A similarity of 0.8 may be further apart than any ball that can be searched, so
+    of texts that this leaves in different groups those that share one of BANDS bands of ROWS minhashes are
+    candidates too; 512 one-bit minhashes discard those that are hardly similar,
     and the shingles themselves verify the rest; either step misses about one
     in a thousand pairs at 0.8, fewer above and more among texts of a few
     dozen words, whose minhashes repeat.  Texts with equal sets
@@ -357,16 +372,18 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("binary").alias("text"))
     prints = materialize(near_prints(rows, seed), "near-prints")
     sketch = [f"s{i}" for i in range(SKETCH)]
-    nodes = prints.where("doc_id is not null").groupBy("fp", *sketch).agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
+    nodes = prints.where("doc_id is not null").groupBy("fp", *sketch).agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.min("simhash").alias("simhash"))
     nodes = materialize(nodes, "near-nodes")
 
-    once = nodes.groupBy("node").agg(F.min(F.struct("fp", *sketch, "bands")).alias("p")).select("node", "p.*").drop("fp")
+    once = nodes.groupBy("node").agg(F.min(F.struct("fp", *sketch, "bands", "simhash")).alias("p")).select("node", "p.*").drop("fp")
     once = materialize(once, "near-once")
-    stars = materialize(similar(rows, band_stars(once), seed), "near-stars")
-    pairs = similar(rows, band_links(materialize(grouped(once, stars), "near-groups")), seed)
+    near = materialize(simhash_near(rows, once, radius, seed), "near-simhash-links")
+    rest = once.drop("simhash")
+    stars = materialize(near.unionByName(similar(rows, band_stars(materialize(grouped(rest, near), "near-parts")), seed)), "near-stars")
+    pairs = similar(rows, band_links(materialize(grouped(rest, stars), "near-groups")), seed)
     roots = components(stars.unionByName(pairs))
     classes = nodes.join(roots, "node", "left").select("fp", *sketch, F.coalesce("root", "node").alias("component_id"))
-    return prints.drop("bands").join(materialize(classes, "near-classes"), ["fp", *sketch], "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return prints.drop("bands", "simhash").join(materialize(classes, "near-classes"), ["fp", *sketch], "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def as_hex(fp: Column) -> Column:

@@ -693,3 +693,14 @@ def test_near_copies_are_found_in_every_band_of_similarity(spark):
             found[kind, "0.80" if s < 0.85 else "0.85"].append(got[2 * i] == got[2 * i + 1])
     recall = {k: (round(sum(v) / len(v), 3), len(v)) for k, v in found.items()}
     assert len(recall) == 6 and all(r >= 0.95 and n >= 50 for r, n in recall.values()), recall
+
+
+def test_near_copies_meet_by_their_simhashes_without_any_band(spark, monkeypatch):
+    no_pairs = lambda prints: prints.select(F.col("node").alias("u"), F.col("node").alias("v")).where("false")
+    monkeypatch.setattr(simhash, "band_stars", no_pairs)
+    monkeypatch.setattr(simhash, "band_links", no_pairs)
+    texts = [r.text for r in read(spark, "/root/testdata/sf0.01", "documents").where("size(split(text, ' ')) >= 60").orderBy("doc_id").limit(60).collect()]
+    rows = [(2 * i + k, " ".join([*t.split()[: -1 - k], "new"]) if k else t) for i, t in enumerate(texts) for k in (0, 1)]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    near = [i for i in range(len(texts)) if (brute_print(rows[2 * i][1]) ^ brute_print(rows[2 * i + 1][1])).bit_count() <= 4]
+    assert len(near) > 20 and all(got[2 * i] == got[2 * i + 1] for i in near)
